@@ -29,18 +29,24 @@ def query(name: str, sql: str | None):
     """Register a query with its SQL twin (None: no SQL form)."""
 
     def add(function: Query) -> Query:
-        CATALOG[name] = (function, sql)
+        CATALOG[name] = (function, None if sql is None else O.tie_free(sql))
         return function
 
     return add
 
 
 def rounded(frame: DataFrame, digits: int = DIGITS, only: Sequence[str] | None = None) -> DataFrame:
-    """Round fractional columns, so that summation order does not show."""
+    """Round fractional columns, so that summation order does not show.
+
+    The offset keeps exact decimals ending in 5 away from the rounding edge.
+    """
     kinds = dict(frame.dtypes)
     fractional = [c for c in frame.columns if kinds[c] in ("float", "double") and (only is None or c in only)]
     return frame.selectExpr(
-        *[f"round(CAST(`{c}` AS DOUBLE), {digits}) AS `{c}`" if c in fractional else f"`{c}`" for c in frame.columns]
+        *[
+            f"floor(CAST(`{c}` AS DOUBLE) * 1e{digits}D + 0.5001D) / 1e{digits}D AS `{c}`" if c in fractional else f"`{c}`"
+            for c in frame.columns
+        ]
     )
 
 
@@ -397,8 +403,8 @@ def model_panel(spark, sf):
 
 
 @query("split_samples", O.cte(*O.panel_chain(), O.ROLES, "act AS (SELECT * FROM roles WHERE NOT purged)") + """
-SELECT a.fold_id, a.split, count(*) AS n_rows, count(DISTINCT p.Date) AS n_dates, round(sum(target)::DOUBLE, 3) AS target_sum FROM panel p JOIN act a ON a.signal_date = p.Date
-WHERE CASE WHEN a.split = 'test' THEN is_eligible ELSE is_eligible AND target IS NOT NULL END GROUP BY 1, 2""")
+SELECT a.fold_id, a.split, count(p.Code) AS n_rows, count(DISTINCT p.Date) AS n_dates, round(sum(target)::DOUBLE, 3) AS target_sum
+FROM act a LEFT JOIN panel p ON a.signal_date = p.Date AND CASE WHEN a.split = 'test' THEN is_eligible ELSE is_eligible AND target IS NOT NULL END GROUP BY 1, 2""")
 def split_samples(spark, sf):
     panel = stage(daily_model_panel(spark, sf))
     roles = stage(roles_of(stage(daily_calendar(spark, sf))))
@@ -407,9 +413,9 @@ def split_samples(spark, sf):
         for split in C.SPLITS:
             rows = universe.split_samples(panel, roles, fold, split).agg(
                 F.count(F.lit(1)).alias("n_rows"), F.countDistinct("Date").alias("n_dates"),
-                F.round(F.sum(F.col("target").cast("double")), 3).alias("target_sum"),
+                F.sum(F.col("target").cast("double")).alias("target_sum"),
             )
-            part = rows.select(F.lit(fold).alias("fold_id"), F.lit(split).alias("split"), "*")
+            part = rounded(rows, 3).select(F.lit(fold).alias("fold_id"), F.lit(split).alias("split"), "*")
             parts = part if parts is None else parts.unionByName(part)
     return parts
 

@@ -18,6 +18,26 @@ def rf(x: str, name: str) -> str:
     return f"round(CASE WHEN isfinite(({x})::DOUBLE) THEN ({x})::FLOAT END::DOUBLE, {DP}) AS {name}"
 
 
+def tie_free(sql: str) -> str:
+    """Spell ``round(x, n)`` as a floor with an offset.
+
+    Exact decimals ending in 5 then never sit on the rounding edge, where the last
+    bit of a sum would decide.
+    """
+    out, at = "", 0
+    while (start := sql.find("round(", at)) >= 0:
+        depth, end, comma = 1, start + 6, -1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if sql[end] == "," and depth == 1:
+                comma = end
+            end += 1
+        inner, digits = tie_free(sql[start + 6 : comma]), sql[comma + 1 : end - 1].strip()
+        out += sql[at:start] + f"(floor(({inner})::DOUBLE * 1e{digits} + 0.5001) / 1e{digits})"
+        at = end
+    return out + sql[at:]
+
+
 def cte(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 

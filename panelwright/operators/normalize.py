@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..registry import NORMALISED_SUFFIX
 from ..session import stage
@@ -61,21 +62,45 @@ def mad_zscore_block(block: np.ndarray, min_valid: int = MIN_VALID) -> np.ndarra
 
 
 def _block_normalised(frame: DataFrame, columns: Sequence[str], names: Sequence[str], min_valid: int) -> DataFrame:
-    """One exchange by Date; each date is a bounded Arrow block handled by NumPy."""
-    others = [name for name in frame.columns if name not in set(columns)]
-    schema = frame.select(*others, *[F.lit(0.0).cast("float").alias(name) for name in names]).schema
+    """One exchange by Date, then a stream of Arrow batches per partition; a date is a bounded block."""
     columns, names = list(columns), list(names)
+    others = [name for name in frame.columns if name not in set(columns)]
+    typed = frame.selectExpr(*others, *[f"CAST({name} AS FLOAT) AS {name}" for name in columns])
+    kept = [field for field in typed.schema.fields if field.name in set(others)]
+    schema = T.StructType(kept + [T.StructField(name, T.FloatType()) for name in names])
 
-    def normalise(table: pa.Table) -> pa.Table:
+    def scored(table: pa.Table) -> pa.RecordBatch:
         block = np.empty((table.num_rows, len(columns)), dtype=np.float32)
         for index, name in enumerate(columns):
             block[:, index] = table.column(name).to_numpy()
-        z = mad_zscore_block(block, min_valid)
-        arrays = [table.column(name) for name in others] + [pa.array(z[:, i]) for i in range(len(columns))]
-        return pa.table(arrays, names=others + names)
-
-    typed = frame.select(*others, *[F.col(name).cast("float").alias(name) for name in columns])
-    return typed.groupBy("Date").applyInArrow(normalise, schema)
+        dates = table.column("Date").to_numpy()
+        edges = [0, *(np.flatnonzero(dates[1:] != dates[:-1]) + 1), len(dates)]
+        for start, end in zip(edges, edges[1:]):
+            block[start:end] = mad_zscore_block(block[start:end], min_valid)
+        arrays = [table.column(name).combine_chunks() for name in others]
+        arrays += [pa.array(block[:, index]) for index in range(len(columns))]
+        return pa.Table.from_arrays(arrays, names=others + names).combine_chunks().to_batches()[0]
+
+    def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows arrive sorted by Date; the last date of a batch waits for its remaining rows."""
+        waiting: list[pa.Table] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([batch])
+            dates = table.column("Date").to_numpy()
+            if waiting and waiting[-1].column("Date")[0].as_py() != dates[0]:
+                yield scored(pa.concat_tables(waiting))
+                waiting = []
+            start = int(np.searchsorted(dates, dates[-1], side="left"))
+            if start > 0:
+                yield scored(pa.concat_tables([*waiting, table.slice(0, start)]))
+                waiting = []
+            waiting.append(table.slice(start))
+        if waiting:
+            yield scored(pa.concat_tables(waiting))
+
+    return typed.repartition("Date").sortWithinPartitions("Date").mapInArrow(normalise, schema)
 
 
 def _ordered_bin(value: Column) -> Column:
@@ -140,7 +165,7 @@ def _refined_normalised(frame: DataFrame, columns: Sequence[str], names: Sequenc
     others = [name for name in frame.columns if name not in set(columns)]
     x = F.col("x")
     value = F.when(F.abs(x) < F.lit(float("inf")), x)
-    array = F.array(*[F.col(name).cast("float") for name in columns])
+    array = F.expr("array(" + ", ".join(f"CAST({name} AS FLOAT)" for name in columns) + ")")
     wide = stage(frame.select(*others, F.transform(array, lambda v: F.when(F.abs(v) < float("inf"), v)).alias("xs")))
     keys = ["Date", "pos"]
     cells = wide.select("Date", F.posexplode("xs").alias("pos", "x")).filter(value.isNotNull())
@@ -188,7 +213,7 @@ def _refined_normalised(frame: DataFrame, columns: Sequence[str], names: Sequenc
         return F.coalesce(F.when(v.isNotNull() & fit_.isNotNull(), z), F.lit(0.0)).cast("float")
 
     scored = joined.select(*others, F.transform("xs", standard).alias("zs"))
-    return scored.select(*others, *[F.col("zs")[index].alias(name) for index, name in enumerate(names)])
+    return scored.selectExpr(*others, *[f"zs[{index}] AS {name}" for index, name in enumerate(names)])
 
 
 def mad_zscore(
