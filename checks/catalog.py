@@ -13,7 +13,7 @@ from panelwright.functions.safe import change
 from panelwright.operators import bars as B
 from panelwright.operators import calendar as C
 from panelwright.operators import contracts, features, labels, learn, metrics, normalize, portfolio, predictions, universe
-from panelwright.operators.groups import profile_groups, with_group_stats
+from panelwright.operators.groups import with_group_stats
 from panelwright.plans import adapters as A
 from panelwright.plans import jobs
 from panelwright.session import stage
@@ -448,7 +448,7 @@ _MODELS = ", ".join(O.r(m, m) for m in O.MODELS)
 
 @query("prediction_align", O.cte(*O.scores_chain()) + f"SELECT Code, Date, {_MODELS} FROM sw")
 def prediction_align(spark, sf):
-    long = stage(long_scores(score_panel(spark, sf)))
+    long = long_scores(score_panel(spark, sf))
     sources = {m: long.filter(F.col("model") == m).select("Date", "Code", F.col("score").alias("prediction")) for m in SCORE_FIELDS}
     return rounded(with_int_date(predictions.align_model_predictions(sources)))
 
@@ -472,27 +472,27 @@ dm AS (SELECT model, Date, count(*) AS n_rows, count(p) AS n,
 
 @query("daily_ic", _DAILY_METRICS + f"SELECT model, Date, {O.r('ic', 'ic')}, {O.r('mse', 'mse')}, {O.r('r2', 'r2')}, n_rows FROM dm".replace(f"round((r2)::DOUBLE, {O.DP})", "round(r2::DOUBLE, 3)"))
 def daily_ic(spark, sf):
-    long = stage(long_scores(score_panel(spark, sf)))
+    long = long_scores(score_panel(spark, sf))
     daily = metrics.daily_regression_metrics(long, "score", "raw_return", ("model", "Date"))
     return rounded(rounded(daily, 3, ["r2"]), DIGITS, ["ic", "mse"])
 
 
 @query("regression_metrics", _DAILY_METRICS + "SELECT model, round(avg(ic), 6) AS DailyICMean, round(avg(mse), 6) AS DailyMSEMean, round(avg(r2), 2) AS DailyR2Mean, count(*) AS NumDates, sum(n_rows)::BIGINT AS NumRows FROM dm GROUP BY model")
 def regression_metrics(spark, sf):
-    long = stage(long_scores(score_panel(spark, sf)))
+    long = long_scores(score_panel(spark, sf))
     summary = metrics.regression_metrics(long, "score", "raw_return", ["model"])
     return rounded(rounded(summary, 2, ["DailyR2Mean"]), DIGITS, ["DailyICMean", "DailyMSEMean"])
 
 
 @query("daily_rank_ic", O.cte(*O.scores_chain(), *O.IC) + f"SELECT model, Date, {O.r('ic', 'ic')}, {O.r('rank_ic', 'rank_ic')} FROM icd")
 def daily_rank_ic(spark, sf):
-    return rounded(metrics.daily_predictive_metrics(stage(long_scores(score_panel(spark, sf))), outcome="raw_return"))
+    return rounded(metrics.daily_predictive_metrics(long_scores(score_panel(spark, sf)), outcome="raw_return"))
 
 
 @query("predictive_summary", O.cte(*O.scores_chain(), *O.IC) + """SELECT CASE WHEN grouping(y) = 1 THEN '1995-2001' ELSE y::VARCHAR END AS period, model,
 round(avg(ic), 6) AS ic, round(avg(rank_ic), 6) AS rank_ic FROM (SELECT *, Date // 10000 AS y FROM icd) GROUP BY GROUPING SETS ((model), (model, y))""")
 def predictive_summary(spark, sf):
-    daily = metrics.daily_predictive_metrics(stage(long_scores(score_panel(spark, sf))), outcome="raw_return")
+    daily = metrics.daily_predictive_metrics(long_scores(score_panel(spark, sf)), outcome="raw_return")
     return rounded(portfolio.period_predictive_summary(daily, "1995-2001"))
 
 
@@ -512,12 +512,12 @@ def rank_zscore_ensemble(spark, sf):
 # ---- portfolios -----------------------------------------------------------------------------------------------
 @query("select_top_quantile", O.cte(*O.grid_chain()) + f"SELECT model, Date, Code, {O.r('strength * CASE WHEN pos < 0 THEN -1 ELSE 1 END', 'score')}, pos::DOUBLE AS position FROM picked WHERE mode = 'signed' AND quantile = 0.25")
 def select_top_quantile(spark, sf):
-    long = stage(long_scores(score_panel(spark, sf)).select("model", "Date", "Code", "score"))
+    long = long_scores(score_panel(spark, sf)).select("model", "Date", "Code", "score")
     return rounded(portfolio.select_top_quantile(long, "signed", 0.25, ("model", "Date")))
 
 
 def daily_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.backtest_grid(stage(long_scores(score_panel(spark, sf))), outcome="raw_return")
+    return portfolio.backtest_grid(long_scores(score_panel(spark, sf)), outcome="raw_return")
 
 
 @query("portfolio_grid", O.cte(*O.grid_chain()) + """SELECT model, Date, mode, quantile, round(pnl, 6) AS pnl, k::DOUBLE AS notional,

@@ -149,13 +149,16 @@ def minute_returns(minutes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Add ``ret`` (bar-to-bar inside the group) and deviations from group VWAP and open.
 
     A group holds at most one row per minute of one stock-day, so these windows
-    are small by the key contract, whatever the table size.
+    are small by the key contract, whatever the table size; a repeated minute
+    fails the job in the same pass.
     """
     group = Window.partitionBy(*keys)
     previous = F.lag("close").over(group.orderBy("Minute"))
+    repeated = F.lag("Minute").over(group.orderBy("Minute")) == F.col("Minute")
+    failure = F.raise_error(F.lit("minute panel contains duplicate (Code, Minute) keys")).cast("double")
     sums = minutes.withColumns(
         {
-            "ret": step_return(F.col("close"), previous),
+            "ret": F.when(repeated, failure).otherwise(step_return(F.col("close"), previous)),
             "_amount": F.coalesce(F.sum("amount_adj").over(group), F.lit(0.0)),
             "_vol": F.coalesce(F.sum("vol").over(group), F.lit(0.0)),
             "_open": _first("open").over(group),

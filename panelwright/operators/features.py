@@ -48,9 +48,12 @@ def daily_lookbacks(adjusted: DataFrame) -> DataFrame:
         # lag of an incomplete window is NULL; the sum is NULL as soon as one part is.
         return f"CASE WHEN ({' + '.join(parts)}) IS NOT NULL THEN {how}({', '.join(parts)}) END"
 
+    # A repeated (Code, Date) key fails the job in the same pass.
+    repeated = "CAST(raise_error('daily panel contains duplicate (Code, Date) keys') AS DOUBLE)"
     base = adjusted.selectExpr(
         "*",
-        *[f"lag(close_adj, {n}) {HISTORY} AS close_lag{n}" for n in (1, 5, 10, 20, 60)],
+        f"CASE WHEN lag(Date, 1) {HISTORY} = Date THEN {repeated} ELSE lag(close_adj, 1) {HISTORY} END AS close_lag1",
+        *[f"lag(close_adj, {n}) {HISTORY} AS close_lag{n}" for n in (5, 10, 20, 60)],
         f"lag(vwap_adj, 1) {HISTORY} AS vwap_lag1",
         f"lag(volume_shares, 1) {HISTORY} AS volume_lag1",
         f"lag(amount_adj, 1) {HISTORY} AS amount_lag1",
@@ -120,7 +123,7 @@ def early_open_features(minutes: DataFrame, daily: DataFrame, calendar: DataFram
     """Early-open features keyed by the *signal* date: the session before the opening bars."""
     opening = early_open_bars(minutes).withColumnRenamed("Date", "entry_date")
     days = sessions(calendar).select("Date", "entry_date").filter(F.col("entry_date").isNotNull())
-    bars = opening.join(days, "entry_date").drop("entry_date")
+    bars = opening.join(F.broadcast(days), "entry_date").drop("entry_date")  # one row per trading day
     formulas = T.early_open()
     fields = bars.join(_reference(daily), list(KEYS), "left").selectExpr(
         *KEYS, *[f"{formulas[name]} AS EO_{name}" for name in R.EARLY_OPEN_FIELDS]

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import clip, finite, is_finite
-from .groups import GroupProfile, average_rank, profile_groups, with_group_stats
+from .groups import GroupProfile, average_rank, average_rank_over, profile_groups, with_group_stats
 
 
 def _pearson(x: Column, y: Column) -> Column:
@@ -23,19 +23,25 @@ def daily_regression_metrics(
     label: str,
     keys: Sequence[str] = ("Date",),
     profile: GroupProfile | None = None,
+    rescale: bool = True,
 ) -> DataFrame:
     """Per date ``ic, mse, r2, n_rows`` over rows where both sides are finite.
 
-    A constant side or fewer than two rows gives an IC of 0; tiny scores are
-    rescaled first so their squares do not vanish.
+    A constant side or fewer than two rows gives an IC of 0.  Tiny scores are
+    rescaled first so their squares do not vanish; without *rescale* the whole
+    computation is one map-side-combined aggregate.
     """
     p, y = finite(F.col(prediction).cast("double")), finite(F.col(label).cast("double"))
     both = p.isNotNull() & y.isNotNull()
     pairs = frame.select(*keys, F.when(both, p).alias("p"), F.when(both, y).alias("y"))
-    scales = {"ps": F.max(F.abs("p")), "ys": F.max(F.abs("y"))}
-    scaled = with_group_stats(pairs, keys, scales, profile)
-    for value, scale in (("p", "ps"), ("y", "ys")):
-        scaled = scaled.withColumn(scale, F.when(F.col(scale) > 0, F.col(value) / F.col(scale)).otherwise(F.col(value)))
+    if rescale:
+        scales = {"ps": F.max(F.abs("p")), "ys": F.max(F.abs("y"))}
+        scaled = with_group_stats(pairs, keys, scales, profile)
+        for value, scale in (("p", "ps"), ("y", "ys")):
+            unit = F.when(F.col(scale) > 0, F.col(value) / F.col(scale)).otherwise(F.col(value))
+            scaled = scaled.withColumn(scale, unit)
+    else:
+        scaled = pairs.withColumns({"ps": F.col("p"), "ys": F.col("y")})
     stats = scaled.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count("p").alias("n"),
@@ -96,8 +102,6 @@ def daily_predictive_metrics(
     pairs = panel.select(*keys, F.when(both, s).alias("s"), F.when(both, r).alias("r"))
     profile = profile or profile_groups(pairs, keys)
     if profile.fits_window:
-        from .groups import average_rank_over
-
         # Incomplete pairs sort last and so never count towards a rank.
         ranked = pairs.withColumns(
             {f"{name}_rank": F.when(F.col(name).isNotNull(), average_rank_over(keys, F.col(name).asc_nulls_last()))

@@ -165,15 +165,15 @@ def evaluate(long: DataFrame, outcomes: DataFrame, outcome: str = "raw_return",
              models: Sequence[str] = R.EIGHT_MODELS, label: str = "2024-2025") -> dict[str, DataFrame]:
     """Score panels of all models and their ensemble to the five report tables.
 
-    All models run as one long panel; periods come from grouping sets.
+    All models run as one long panel; periods come from grouping sets.  Outcomes
+    meet the wide panel, before it becomes one row per model.
     """
     aligned = stage(align_predictions(long, models))
     profile = profile_groups(aligned, ["Date"])
     ensemble = stage(rank_zscore_ensemble(aligned, models, "prediction", profile))
-    scores = aligned.unpivot(["Date", "Code"], list(models), "model", "score").unionByName(
-        ensemble.select("Date", "Code", F.lit("ensemble").alias("model"), F.col("prediction").alias("score"))
-    )
-    panel = attach_outcomes(scores, outcomes, outcome)
+    scored = aligned.join(ensemble.withColumnRenamed("prediction", "ensemble"), ["Date", "Code"])
+    realised = attach_outcomes(scored, outcomes, outcome)
+    panel = realised.unpivot(["Date", "Code", outcome], [*models, "ensemble"], "model", "score")
     portfolios = stage(backtest_grid(panel, "score", outcome, profile=profile))
     predictive = stage(daily_predictive_metrics(panel, "score", outcome, profile=profile))
     return {
