@@ -67,14 +67,3 @@ def both_min(left: Column, right: Column) -> Column:
 def clip(value: Column, low: Column, high: Column) -> Column:
     """Bound a value; NULL stays NULL."""
     return F.when(value.isNotNull(), F.greatest(low, F.least(high, value)))
-
-
-def total(value: Column) -> Column:
-    """Sum that is 0, not NULL, when every value is missing."""
-    return F.coalesce(F.sum(value), F.lit(0.0))
-
-
-def pearson_from_sums(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column, syy: Column) -> Column:
-    """Pearson correlation from plain sums; NULL for n < 2 or a constant side."""
-    spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
-    return F.when((n >= 2) & (spread > 0), ratio(n * sxy - sx * sy, F.sqrt(spread)))

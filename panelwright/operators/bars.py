@@ -7,16 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import formulas as T
 from ..functions import keys as K
-from ..functions.safe import (
-    change,
-    finite,
-    number,
-    pearson_from_sums,
-    ratio,
-    step_return,
-    total,
-)
+from ..functions.safe import change, number, ratio, step_return
 from .contracts import require_columns
 
 OHLC = ("open", "high", "low", "close")
@@ -54,15 +47,16 @@ def resample_bars(
 ) -> DataFrame:
     """Ticks or finer bars to OHLC bars plus summed columns.
 
-    ``min_by`` / ``max_by`` over the ordering columns combine on the map side, so a
-    key with very many ticks never gathers in one task.
+    The first and last tick are the least and greatest (order, price) struct; all
+    aggregates combine on the map side, so a key with very many ticks never gathers
+    in one task.
     """
-    position = F.struct(*order)
+    tick = F.struct(*order, price)
     return ticks.groupBy(*keys).agg(
-        F.min_by(price, position).alias("open"),
+        F.min(tick)[price].alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
-        F.max_by(price, position).alias("close"),
+        F.max(tick)[price].alias("close"),
         *[F.sum(column).alias(name) for name, column in sums.items()],
     )
 
@@ -137,12 +131,12 @@ def assign_slots(minutes: DataFrame) -> DataFrame:
     return minutes.withColumn("slot", K.session_slot(F.col("Minute"))).filter(F.col("slot").isNotNull())
 
 
-def _first(column: str) -> Column:
-    return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("Minute")))
+def _first(column: str) -> str:
+    return f"min_by({column}, CASE WHEN {column} IS NOT NULL THEN Minute END)"
 
 
-def _last(column: str) -> Column:
-    return F.max_by(column, F.when(F.col(column).isNotNull(), F.col("Minute")))
+def _last(column: str) -> str:
+    return f"max_by({column}, CASE WHEN {column} IS NOT NULL THEN Minute END)"
 
 
 def minute_returns(minutes: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -161,7 +155,7 @@ def minute_returns(minutes: DataFrame, keys: Sequence[str]) -> DataFrame:
             "ret": F.when(repeated, failure).otherwise(step_return(F.col("close"), previous)),
             "_amount": F.coalesce(F.sum("amount_adj").over(group), F.lit(0.0)),
             "_vol": F.coalesce(F.sum("vol").over(group), F.lit(0.0)),
-            "_open": _first("open").over(group),
+            "_open": F.expr(_first("open")).over(group),
         }
     )
     return sums.withColumns(
@@ -172,94 +166,92 @@ def minute_returns(minutes: DataFrame, keys: Sequence[str]) -> DataFrame:
     ).drop("_amount", "_vol", "_open")
 
 
-def _pair_sums(x: str, y: str) -> dict[str, Column]:
+# Statistics of one bar over its minute rows (see ``minute_returns``).
+BAR_STATISTICS = {
+    "OPEN": _first("open"),
+    "CLOSE": _last("close"),
+    "HIGH": "max(high)",
+    "LOW": "min(low)",
+    "VOLUME": "coalesce(sum(vol), 0D)",
+    "AMOUNT": "coalesce(sum(amount_adj), 0D)",
+    "VOLUME_FIRST": _first("vol"),
+    "VOLUME_LAST": _last("vol"),
+    "VOLUME_MEAN": "avg(vol)",
+    "AMOUNT_FIRST": _first("amount_adj"),
+    "AMOUNT_LAST": _last("amount_adj"),
+    "AMOUNT_MEAN": "avg(amount_adj)",
+    "RET_N": "count(ret)",
+    "RET_STD": "stddev_samp(ret)",
+    "RET_SQUARES": "coalesce(sum(ret * ret), 0D)",
+    "RET_ABS_MEAN": "avg(abs(ret))",
+    "RET_MAX": "max(ret)",
+    "RET_MIN": "min(ret)",
+    "UP_N": "count_if(ret > 0)",
+    "DOWN_N": "count_if(ret < 0)",
+    "FLAT_N": "count_if(ret = 0)",
+    "UP_VOL": "coalesce(sum(CASE WHEN ret > 0 THEN vol END), 0D)",
+    "DOWN_VOL": "coalesce(sum(CASE WHEN ret < 0 THEN vol END), 0D)",
+    "UP_AMT": "coalesce(sum(CASE WHEN ret > 0 THEN amount_adj END), 0D)",
+    "DOWN_AMT": "coalesce(sum(CASE WHEN ret < 0 THEN amount_adj END), 0D)",
+    "DEV_MEAN": "avg(dev_vwap)",
+    "DEV_ABS_MEAN": "avg(abs(dev_vwap))",
+    "DEV_STD": "stddev_samp(dev_vwap)",
+    "DEV_MAX_OPEN": "max(dev_open)",
+    "DEV_MIN_OPEN": "min(dev_open)",
+}
+# Correlated pairs: short row columns and the names they carry in the output.
+SIDES = {"r": "RET", "ar": "ABSRET", "d": "PRICEDEV", "v": "VOL", "a": "AMT"}
+PAIRS = [(x, y) for x in ("r", "ar", "d") for y in ("v", "a")]
+
+
+def _pair_sums(x: str, y: str) -> dict[str, str]:
     """Sufficient sums of one pair over rows where both sides are finite.
 
-    The product column ``x*y`` is NULL exactly where a side is missing, so it is the mask.
+    The product column ``x_y`` is NULL exactly where a side is missing, so it is the
+    mask.  The absolute return shares mask and squares with the return.
     """
-    product = F.col(f"_{x}_{y}")
-    xv, yv = F.when(product.isNotNull(), F.col(x)), F.when(product.isNotNull(), F.col(y))
-    return {
-        f"_{x}_{y}_n": F.count(product),
-        f"_{x}_{y}_xy": F.sum(product),
-        f"_{x}_{y}_x": F.sum(xv),
-        f"_{x}_{y}_y": F.sum(yv),
-        f"_{x}_{y}_xx": F.sum(xv * xv),
-        f"_{x}_{y}_yy": F.sum(yv * yv),
-    }
-
-
-def bar_statistics(
-    minutes: DataFrame, keys: Sequence[str], extra: dict[str, Column] | None = None
-) -> DataFrame:
+    product = f"{x}_{y}"
+    sums = {"xy": f"sum({product})", "x": f"sum(CASE WHEN {product} IS NOT NULL THEN {x} END)"}
+    if x != "ar":
+        sums |= {
+            "n": f"count({product})",
+            "y": f"sum(CASE WHEN {product} IS NOT NULL THEN {y} END)",
+            "xx": f"sum(CASE WHEN {product} IS NOT NULL THEN {x} * {x} END)",
+            "yy": f"sum(CASE WHEN {product} IS NOT NULL THEN {y} * {y} END)",
+        }
+    return {f"{product}_{part}": text for part, text in sums.items()}
+
+
+def _pair_correlation(x: str, y: str) -> str:
+    """Pearson from the sums; NULL for fewer than two rows or a constant side."""
+    base = "r" if x == "ar" else x
+    n, sy, sxx, syy = (f"{base}_{y}_{part}" for part in ("n", "y", "xx", "yy"))
+    sx, sxy = f"{x}_{y}_x", f"{x}_{y}_xy"
+    spread = f"(({n} * {sxx} - {sx} * {sx}) * ({n} * {syy} - {sy} * {sy}))"
+    return f"CASE WHEN {n} >= 2 AND {spread} > 0 THEN {T.ratio(f'({n} * {sxy} - {sx} * {sy})', f'sqrt({spread})')} END"
+
+
+def bar_statistics(minutes: DataFrame, keys: Sequence[str], extra: dict[str, str] | None = None) -> DataFrame:
     """All statistics of one bar (a half-hour slot, or the two opening minutes).
 
     Expects columns ``Minute, open, high, low, close, vol, amount_adj``; one
     partitioning by *keys* serves the window and the aggregate.  *extra* adds
     aggregates to the same pass.
     """
+    sides = {"r": "ret", "ar": "abs(ret)", "d": "dev_vwap", "v": "vol", "a": "amount_adj"}
     rows = minute_returns(minutes, keys)
-    ret, size, money = F.col("ret"), F.col("vol"), F.col("amount_adj")
-    rising, falling = ret > 0, ret < 0
-    measures = {"r": F.col("ret"), "d": F.col("dev_vwap"), "v": size, "a": money}
-    rows = rows.withColumns({f"_{name}": finite(column) for name, column in measures.items()})
-    rows = rows.withColumn("_ar", F.abs("_r"))
-    pairs = [(x, y) for x in ("r", "ar", "d") for y in ("v", "a")]
-    rows = rows.withColumnsRenamed({f"_{name}": name for name in ("r", "ar", "d", "v", "a")})
-    rows = rows.withColumns({f"_{x}_{y}": F.col(x) * F.col(y) for x, y in pairs})
-    stats: dict[str, Column] = {
-        "OPEN": _first("open"),
-        "CLOSE": _last("close"),
-        "HIGH": F.max("high"),
-        "LOW": F.min("low"),
-        "VOLUME": total(size),
-        "AMOUNT": total(money),
-        "VOLUME_FIRST": _first("vol"),
-        "VOLUME_LAST": _last("vol"),
-        "VOLUME_MEAN": F.avg(size),
-        "AMOUNT_FIRST": _first("amount_adj"),
-        "AMOUNT_LAST": _last("amount_adj"),
-        "AMOUNT_MEAN": F.avg(money),
-        "RET_N": F.count(ret),
-        "RET_STD": F.stddev_samp(ret),
-        "RET_SQUARES": total(ret * ret),
-        "RET_ABS_MEAN": F.avg(F.abs(ret)),
-        "RET_MAX": F.max(ret),
-        "RET_MIN": F.min(ret),
-        "UP_N": F.count_if(rising),
-        "DOWN_N": F.count_if(falling),
-        "FLAT_N": F.count_if(ret == 0),
-        "UP_VOL": total(F.when(rising, size)),
-        "DOWN_VOL": total(F.when(falling, size)),
-        "UP_AMT": total(F.when(rising, money)),
-        "DOWN_AMT": total(F.when(falling, money)),
-        "DEV_MEAN": F.avg("dev_vwap"),
-        "DEV_ABS_MEAN": F.avg(F.abs("dev_vwap")),
-        "DEV_STD": F.stddev_samp("dev_vwap"),
-        "DEV_MAX_OPEN": F.max("dev_open"),
-        "DEV_MIN_OPEN": F.min("dev_open"),
-    }
-    stats |= extra or {}
-    # The absolute return shares its mask and squares with the return.
-    sums: dict[str, Column] = {}
-    for x, y in pairs:
-        parts = _pair_sums(x, y)
-        if x == "ar":
-            parts = {name: parts[name] for name in (f"_ar_{y}_xy", f"_ar_{y}_x")}
-        sums |= parts
-    bars = rows.groupBy(*keys).agg(*[column.alias(name) for name, column in (stats | sums).items()])
-
-    def corr(x: str, y: str) -> Column:
-        base = "r" if x == "ar" else x
-        sources = {"n": base, "x": x, "y": base, "xy": x, "xx": base, "yy": base}
-        return pearson_from_sums(*[F.col(f"_{source}_{y}_{part}") for part, source in sources.items()])
-
-    names = {"r": "RET", "ar": "ABSRET", "d": "PRICEDEV", "v": "VOL", "a": "AMT"}
-    return bars.select(
+    rows = rows.selectExpr("*", *[f"{T.finite(text)} AS {name}" for name, text in sides.items()])
+    rows = rows.selectExpr("*", *[f"{x} * {y} AS {x}_{y}" for x, y in PAIRS])
+    stats = BAR_STATISTICS | (extra or {})
+    sums: dict[str, str] = {}
+    for x, y in PAIRS:
+        sums |= _pair_sums(x, y)
+    bars = rows.groupBy(*keys).agg(*[F.expr(text).alias(name) for name, text in (stats | sums).items()])
+    return bars.selectExpr(
         *keys,
         *stats,
-        ratio(F.col("AMOUNT"), F.col("VOLUME")).alias("VWAP"),
-        *[corr(x, y).alias(f"{names[x]}_{names[y]}_CORR") for x, y in pairs],
+        f"{T.ratio('AMOUNT', 'VOLUME')} AS VWAP",
+        *[f"{_pair_correlation(x, y)} AS {SIDES[x]}_{SIDES[y]}_CORR" for x, y in PAIRS],
     )
 
 
@@ -300,13 +292,7 @@ def running_measures(bars: DataFrame) -> DataFrame:
 def early_open_bars(minutes: DataFrame) -> DataFrame:
     """The two-minute opening bar (09:30, 09:31) of every session, with the auction minute."""
     opening = minutes.filter(F.col("Minute").isin(930, 931)).repartition("Code", "Date")
-    auction = F.col("Minute") == 930
+    auction = {"AUCTION_PRICE": "close", "AUCTION_VOL": "vol", "AUCTION_AMT": "amount_adj"}
     return bar_statistics(
-        opening,
-        ("Code", "Date"),
-        {
-            "AUCTION_PRICE": F.max(F.when(auction, F.col("close"))),
-            "AUCTION_VOL": F.max(F.when(auction, F.col("vol"))),
-            "AUCTION_AMT": F.max(F.when(auction, F.col("amount_adj"))),
-        },
+        opening, ("Code", "Date"), {name: f"max(CASE WHEN Minute = 930 THEN {c} END)" for name, c in auction.items()}
     )

@@ -37,14 +37,19 @@ def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         "l_extendedprice", "l_quantity", "l_discount", "l_tax",
     ]
+    # One numeric (code, date) key: it hashes and sorts without comparing text.
+    packed = (F.col("l_suppkey") % 25) * 100_000_000 + _date_int(F.col("l_shipdate"))
     ticks = table(spark, folder, "lineitem").select(
-        *order,
-        _code(F.col("l_suppkey"), 25).alias("Code"),
-        _date_int(F.col("l_shipdate")).alias("Date"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        *order, packed.alias("stock_day"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price")
     )
     bars = resample_bars(
-        ticks, ("Code", "Date"), "price", order, {"_q": F.col("l_quantity"), "_p": F.col("l_extendedprice")}
+        ticks, ["stock_day"], "price", order, {"_q": F.col("l_quantity"), "_p": F.col("l_extendedprice")}
+    )
+    bars = bars.withColumns(
+        {
+            "Code": F.lpad(F.floor(F.col("stock_day") / 100_000_000).cast("string"), 6, "0"),
+            "Date": (F.col("stock_day") % 100_000_000).cast("int"),
+        }
     )
     before = F.lag("close").over(Window.partitionBy("Code").orderBy("Date"))
     return bars.select(
