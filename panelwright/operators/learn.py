@@ -8,7 +8,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stage
+from ..session import shared_folder, stage
 from .metrics import daily_regression_metrics
 from .universe import feature_vectors
 
@@ -35,6 +35,7 @@ def fit_trees(train: DataFrame, preset: str = "lgb", target: str = "target", see
     Split statistics aggregate by tree node on the executors; lineage is cut
     through the session's checkpoint folder every ten rounds.
     """
+    shared_folder(train.sparkSession)
     learner = GBTRegressor(
         featuresCol="features", labelCol=target, lossType="squared", seed=seed, checkpointInterval=10,
         **tree_params(preset, **overrides),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,20 +22,27 @@ def local_session(name: str = "panelwright", cores: int | str = 8, partitions: i
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the session; only local runs get a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only local runs get a temporary one."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="panelwright-checkpoint-")
-    context.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="panelwright-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)  # the tree learner cuts its lineage there as well
+    return folder
 
 
 def stage(frame: DataFrame) -> DataFrame:
-    """Materialise a frame that several later passes read, cutting its lineage reliably."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write a frame that several later passes read to a table, and read it back.
+
+    The table survives lost executors and cuts the lineage.  Later passes read only
+    the columns they need, and its file size tells the optimizer which joins may
+    broadcast.
+    """
+    spark = frame.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
