@@ -11,7 +11,7 @@ has to fit in one task; the edges of the partitions are paired separately.
 Links are confirmed on the full sets.  To keep that cheap, it goes by rounds: first the closest
 candidate of each node, then all candidates between different components, then hubs: in each
 bucket of a tree that still holds several components, every member of another component meets the
-bucket's member with most links.  Hub rounds end when they bring no pair that is new.  A group of
+bucket's member with most close candidates.  Hub rounds end when they bring no pair that is new.  A group of
 thousands of copies around one original is thus linked with a number of pairs proportional to its
 size.  A 128-bit sketch (one bit of each MinHash value) drops candidates that are farther from the
 threshold than six standard deviations.
@@ -171,7 +171,12 @@ def neighbours(order: DataFrame, percent: int) -> DataFrame:
 
     schema = "a long, b long, far long, tree long, k1 long, k2 long, node long, n long, b1 long, b2 long"
     columns = ["tree", "k1", "k2", "node", "n", "b1", "b2"]
-    ranged = order.select(*columns).repartitionByRange("tree", "k1", "k2", "node").sortWithinPartitions("tree", "k1", "k2", "node")
+    # where whole signatures agree the order goes on with the sketch, from another bit in each tree
+    turn = (F.col("tree") % 8 * 8).cast("int")
+    word = F.when(F.col("tree") < 8, F.col("b1")).otherwise(F.col("b2"))
+    deeper = F.call_function("shiftleft", word, turn).bitwiseOR(F.call_function("shiftrightunsigned", word, 64 - turn)).alias("deeper")
+    ranged = order.select(*columns, deeper).repartitionByRange("tree", "k1", "k2", "deeper", "node")
+    ranged = ranged.sortWithinPartitions("tree", "k1", "k2", "deeper", "node").select(*columns)
     made = stage(ranged.mapInArrow(lambda b: run(b, True), schema))
     # at most 2 WIDTH rows for each partition of the order
     rest = made.filter("a IS NULL").select(*columns).distinct().coalesce(1).sortWithinPartitions("tree", "k1", "k2", "node")
@@ -235,9 +240,14 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _hub_pairs(order: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """In every bucket with several components: each member of another component with the hub."""
-    ends = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").count()
+def _hub_pairs(order: DataFrame, pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """In every bucket with several components: each member of another component with the hub.
+
+    The hub is the member with most candidates that look similar enough: an original among its
+    copies is nearer to each of them than they are to each other.
+    """
+    close = pairs.filter(F.col("far") <= int(BITS * (1 - percent / 100) / 2))
+    ends = close.select(F.col("a").alias("node")).unionAll(close.select(F.col("b").alias("node"))).groupBy("node").count()
     known = stage(labels.join(ends, "node", "left").select("node", "label", F.col("count").alias("degree")))
     rows = order.join(known, "node", "left").select(
         "tree", F.shiftright("k1", 16).alias("bucket"), "node", "n", "b1", "b2", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"),
@@ -277,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if not more.isEmpty():
             labels = components(more, labels)
         while not links.isEmpty():
-            new = stage(_hub_pairs(order, links, labels, percent).join(tried, ["a", "b"], "left_anti"))
+            new = stage(_hub_pairs(order, pairs, labels, percent).join(tried, ["a", "b"], "left_anti"))
             if new.isEmpty():
                 break
             tried = tried.unionByName(new)
