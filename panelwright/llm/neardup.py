@@ -11,9 +11,9 @@ has to fit in one task; the edges of the partitions are paired separately.
 Links are confirmed on the full sets.  To keep that cheap, it goes by rounds: first the closest
 candidate of each node, then all candidates between different components, then hubs: in each
 bucket of a tree that still holds several components, every member of another component meets the
-bucket's member with most close candidates.  Hub rounds end when they bring no pair that is new.  A group of
-thousands of copies around one original is thus linked with a number of pairs proportional to its
-size.  A 128-bit sketch (one bit of each MinHash value) drops candidates that are farther from the
+bucket's member with most close candidates.  Hub rounds end when they bring no new link; a last
+look at each order pairs the next WIDE nodes of other components.  A group of thousands of copies
+around one original is thus linked with a number of pairs proportional to its size.  A 128-bit sketch (one bit of each MinHash value) drops candidates that are farther from the
 threshold than six standard deviations.
 
 At a similarity of 0.85 a pair shares the floor prefix in one of 16 trees but for a chance of
@@ -43,6 +43,7 @@ TREES = 16
 DEPTH = 8
 FLOOR = 3
 WIDTH = 6
+WIDE = 96
 SEED = 97
 BITS = TREES * DEPTH
 
@@ -129,57 +130,58 @@ def _far(percent: int) -> int:
     return int(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
 
 
-def neighbours(order: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a < b, far) of a forest; with the edges of partitions paired as well."""
+def neighbours(order: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
+    """Candidate pairs (a < b, far) of a forest: near places of an order, not of the same ``label``.
+
+    The edges of partitions are paired as well.
+    """
     far = _far(percent)
+    columns = ["tree", "k1", "k2", "deeper", "node", "n", "b1", "b2", "label"]
+
+    def edge(rows):
+        return pa.RecordBatch.from_arrays([pa.nulls(len(rows[0]), pa.int64())] * 3 + [pa.array(c) for c in rows], names=["a", "b", "far", *columns])
 
     def run(batches, edges: bool):
         held, first = None, True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])
+            now = [c.to_numpy().astype(np.int64) for c in batch.columns]
             if first and edges:
-                yield _edge(now[:WIDTH])
+                yield edge([c[:width] for c in now])
             first = False
-            rows = now if held is None else np.concatenate([held, now])
-            start = 0 if held is None else len(held)
+            rows = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            start = 0 if held is None else len(held[0])
+            tree, k1, _, _, node, n, b1, b2, label = rows
+            bucket = (k1 >> 16) * TREES + tree  # the floor prefix is the upper 48 bits of k1
+            size = len(tree)
             found = []
-            for lag in range(1, WIDTH + 1):
-                at = np.arange(max(start, lag), len(rows))
-                x, y = rows[at - lag], rows[at]
-                # the floor prefix: the upper 48 bits of k1
-                near = (x[:, 0] == y[:, 0]) & ((x[:, 1] >> 16) == (y[:, 1] >> 16)) & (x[:, 3] != y[:, 3])
-                near &= 100 * np.minimum(x[:, 4], y[:, 4]) >= percent * np.maximum(x[:, 4], y[:, 4])
-                x, y = x[near], y[near]
-                apart = np.bitwise_count((x[:, 5] ^ y[:, 5]).view(np.uint64)).astype(np.int64) + np.bitwise_count((x[:, 6] ^ y[:, 6]).view(np.uint64))
+            for lag in range(1, min(width, size - 1) + 1):
+                low = max(start, lag)
+                y = np.flatnonzero((bucket[low - lag : size - lag] == bucket[low:]) & (label[low - lag : size - lag] != label[low:])) + low
+                x = y - lag
+                fits = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
+                x, y = x[fits], y[fits]
+                apart = np.bitwise_count((b1[x] ^ b1[y]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b2[x] ^ b2[y]).view(np.uint64))
                 close = apart <= far
-                found.append(np.column_stack([np.minimum(x[:, 3], y[:, 3]), np.maximum(x[:, 3], y[:, 3]), apart])[close])
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pairs[:, i]) for i in range(3)] + [pa.nulls(len(pairs), pa.int64())] * 7,
-                names=["a", "b", "far", "tree", "k1", "k2", "node", "n", "b1", "b2"],
-            )
-            held = rows[-WIDTH:]
+                x, y = x[close], y[close]
+                found.append(np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart[close]]))
+            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)] + [pa.nulls(len(pairs), pa.int64())] * len(columns), names=["a", "b", "far", *columns])
+            held = [c[-width:] for c in rows]
         if held is not None and edges:
-            yield _edge(held)
+            yield edge(held)
 
-    def _edge(rows):
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(rows), pa.int64())] * 3 + [pa.array(rows[:, i]) for i in range(7)], names=["a", "b", "far", "tree", "k1", "k2", "node", "n", "b1", "b2"],
-        )
-
-    schema = "a long, b long, far long, tree long, k1 long, k2 long, node long, n long, b1 long, b2 long"
-    columns = ["tree", "k1", "k2", "node", "n", "b1", "b2"]
+    schema = "a long, b long, far long, tree long, k1 long, k2 long, deeper long, node long, n long, b1 long, b2 long, label long"
+    keys = ["tree", "k1", "k2", "deeper", "node"]
     # where whole signatures agree the order goes on with the sketch, from another bit in each tree
     turn = (F.col("tree") % 8 * 8).cast("int")
     word = F.when(F.col("tree") < 8, F.col("b1")).otherwise(F.col("b2"))
-    deeper = F.call_function("shiftleft", word, turn).bitwiseOR(F.call_function("shiftrightunsigned", word, 64 - turn)).alias("deeper")
-    ranged = order.select(*columns, deeper).repartitionByRange("tree", "k1", "k2", "deeper", "node")
-    ranged = ranged.sortWithinPartitions("tree", "k1", "k2", "deeper", "node").select(*columns)
+    deeper = F.call_function("shiftleft", word, turn).bitwiseOR(F.call_function("shiftrightunsigned", word, 64 - turn))
+    ranged = order.withColumn("deeper", deeper).select(*columns).repartitionByRange(*keys).sortWithinPartitions(*keys)
     made = stage(ranged.mapInArrow(lambda b: run(b, True), schema))
-    # at most 2 WIDTH rows for each partition of the order
-    rest = made.filter("a IS NULL").select(*columns).distinct().coalesce(1).sortWithinPartitions("tree", "k1", "k2", "node")
+    # at most twice the width for each partition of the order
+    rest = made.filter("a IS NULL").select(*columns).distinct().coalesce(1).sortWithinPartitions(*keys)
     rest = rest.mapInArrow(lambda b: run(b, False), schema)
     return made.filter("a IS NOT NULL").select("a", "b", "far").unionByName(rest.select("a", "b", "far")).groupBy("a", "b").agg(F.min("far").alias("far"))
 
@@ -271,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stage(full.groupBy("s1", "s2").agg(
         F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("b1").alias("b1"), F.first("b2").alias("b2")))
     order = stage(forest(nodes))
-    pairs = stage(neighbours(order, percent))
+    pairs = stage(neighbours(order.withColumn("label", F.col("node")), percent))
     labels = None
     if not pairs.isEmpty():
         # sets of the candidates only, from their texts
@@ -286,20 +288,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = links.unionByName(more)
         if not more.isEmpty():
             labels = components(more, labels)
+        wide = False
         while not links.isEmpty():
-            new = stage(_hub_pairs(order, pairs, labels, percent).join(tried, ["a", "b"], "left_anti"))
-            if new.isEmpty():
-                break
-            tried = tried.unionByName(new)
-            sides = new.select(F.col("a").alias("node")).unionAll(new.select(F.col("b").alias("node"))).distinct()
-            missing = sides.join(sets, "node", "left_anti")
-            if not missing.isEmpty():
-                sets = sets.unionByName(stage(item_sets(docs, missing, words)))
-            more = stage(confirmed(new, sets, percent))
-            if more.isEmpty():
+            if wide:
+                named = order.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+                new = neighbours(named, percent, WIDE).select("a", "b")
+            else:
+                new = _hub_pairs(order, pairs, labels, percent)
+            new = stage(new.join(tried, ["a", "b"], "left_anti"))
+            more = None
+            if not new.isEmpty():
+                tried = tried.unionByName(new)
+                sides = new.select(F.col("a").alias("node")).unionAll(new.select(F.col("b").alias("node"))).distinct()
+                missing = stage(sides.join(sets, "node", "left_anti"))
+                if not missing.isEmpty():
+                    sets = sets.unionByName(stage(item_sets(docs, missing, words)))
+                more = stage(confirmed(new, sets, percent))
+            if more is not None and not more.isEmpty():
+                labels = components(more, labels)
+            elif not wide:
+                wide = True
+                continue
+            if wide:
                 break
-            links = links.unionByName(more)
-            labels = components(more, labels)
     named = nodes.select("s1", "s2", "node")
     if labels is not None:
         named = named.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component"))

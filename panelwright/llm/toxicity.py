@@ -26,11 +26,11 @@ from panelwright.llm.common import fit_logistic, fixed_lists, ship, text_bytes,
 ship(__name__)
 
 NGRAMS = (4, 5, 6)
-BUCKETS = 1 << 17
-MIN_Z = 5.0
+BUCKETS = 1 << 18
+MIN_Z = 8.0
 MAX_FEATURES = 1500
 MAX_FIT = 15_000
-RIDGE = 0.3
+RIDGE = 1.0
 
 
 def ngram_buckets(text: bytes, sizes: Sequence[int], buckets: int) -> np.ndarray:
