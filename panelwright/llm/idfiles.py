@@ -26,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -59,30 +60,32 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # ids of a word with one blank before it
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        split: list[list[str] | None] = []
+        split: list[list[str]] = []
+        heads: list[str] = []
         wanted: set[str] = set()
         for text in texts:
             if _ODD.search(text) or any(s in text for s in self.special):
-                split.append(None)
-                continue
-            first, *words = text.split(" ")
-            words = [first, *[" " + w for w in words]] if first else [" " + w for w in words]
+                words = [text]
+            else:
+                words = text.split(" ")
+            heads.append(words[0])
+            del words[0]
             split.append(words)
             wanted.update(words)
         new = [w for w in wanted if w not in memo]
         for at in range(0, len(new), 20_000):
-            memo.update(zip(new[at : at + 20_000], self._encode(new[at : at + 20_000])))
-        whole = iter(self._encode([t for t, words in zip(texts, split) if words is None]))
-        return [next(whole) if words is None else b"".join(map(memo.__getitem__, words)) for words in split]
+            part = new[at : at + 20_000]
+            memo.update(zip(part, self._encode([" " + w for w in part])))
+        return [head + b"".join(map(memo.__getitem__, words)) for head, words in zip(self._encode(heads), split)]
 
 
 def _blocks(batches, size: int = 1024):

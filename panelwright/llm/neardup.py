@@ -42,9 +42,10 @@ ship(__name__)
 TREES = 16
 DEPTH = 8
 FLOOR = 3
-WIDTH = 6
+WIDTH = 1
 WIDE = 96
 SEED = 97
+MASK_BITS = 1 << 22
 BITS = TREES * DEPTH
 
 
@@ -323,13 +324,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def item_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, items (the sorted set as little-endian 64-bit numbers) of the documents in ``wanted``."""
+    """node, items (the sorted set as little-endian 64-bit numbers) of the documents in ``wanted``.
+
+    A bit mask of fixed size over hashed ids tells tasks which texts may be wanted, so that few
+    others are hashed and moved; the join decides.
+    """
+    place = F.xxhash64("node").bitwiseAND(F.lit(MASK_BITS - 1))
+    cells = wanted.select(F.shiftright(place, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    cells = cells.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # at most MASK_BITS / 64 rows
+    mask = np.zeros(MASK_BITS // 64, np.int64)
+    mask[cells.word.to_numpy(np.int64)] = cells.bits.to_numpy(np.int64)
+
     def run(batches):
+        bits = mask.view(np.uint64)
         for batch in batches:
+            at = batch.column(2).to_numpy().astype(np.uint64) & np.uint64(MASK_BITS - 1)
+            maybe = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+            batch = batch.filter(pa.array(maybe))
             made = [shingle_set(text, words).astype("<u8").tobytes() for text in text_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "items"])
 
-    return docs.join(wanted, docs.doc_id == wanted.node, "left_semi").mapInArrow(run, "node long, items binary")
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id").alias("at"))
+    return rows.mapInArrow(run, "node long, items binary").join(wanted, "node", "left_semi")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

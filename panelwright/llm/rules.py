@@ -2,7 +2,8 @@
 
 A document gets two histograms: character classes, and the common function words (all other
 words share one last cell).  The reference of a language is the mean of the histograms of its
-long enough documents, over the whole corpus.  The Jensen-Shannon distance (base 2, 0 to 1)
+long enough documents, over the whole corpus (of character classes the median of each class,
+scaled to one, so that odd documents do not shift it).  The Jensen-Shannon distance (base 2, 0 to 1)
 between the two decides, under minimum-length guards.
 
 Defined cases: NULL text counts as empty; an empty or short text has no divergence (the guards
@@ -134,17 +135,19 @@ def _distance(p: Column, q: Column) -> Column:
 
 
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per language (and one with NULL for all documents): mean histograms as arrays.
+    """One row per language (and one with NULL for all documents): middle histograms as arrays.
 
     Only documents that pass the base rule and the longer guard count, each with weight one.
-    Means are partial sums per cell: a language with most rows needs no task of its own.
+    Means and medians are combined before the shuffle: a language with most rows needs no task of its own.
     """
     rows = _measured(docs.select(F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__body")), "__body", ["__lang"])
     rows = rows.filter(~_base_failed() & (F.col("__n_words") >= MIN_COMMON_WORDS))
     rows = rows.select("__lang", _shares("__chars").alias("c"), _shares("__common").alias("w"))
     k, m = len(CLASSES), len(VOCABULARY) + 1
-    means = [F.avg(F.col("c")[i]).alias(f"c{i}") for i in range(k)] + [F.avg(F.col("w")[i]).alias(f"w{i}") for i in range(m)]
-    both = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n"), *means)
+    middle = [F.percentile_approx(F.col("c")[i], 0.5, 1000).alias(f"c{i}") for i in range(k)] + [F.avg(F.col("w")[i]).alias(f"w{i}") for i in range(m)]
+    both = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n"), *middle)
+    scale = sum((F.col(f"c{i}") for i in range(k)), F.lit(0.0))
+    both = both.withColumns({f"c{i}": F.col(f"c{i}") / scale for i in range(k)})
     whole = [(F.sum(F.col(x) * F.col("n")) / F.sum("n")).alias(x) for x in [f"c{i}" for i in range(k)] + [f"w{i}" for i in range(m)]]
     both = stage(both)
     packed = [

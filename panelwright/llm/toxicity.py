@@ -96,7 +96,8 @@ def fit(train: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     c0, c1 = counts.c0.to_numpy(float), counts.c1.to_numpy(float)
     a, b = (c1 + 1) / (total.c1 + 2), (c0 + 1) / (total.c0 + 2)
     ratio = np.log(a / b)
-    z = ratio / np.sqrt((1 - a) / (c1 + 1) + (1 - b) / (c0 + 1))
+    both = (c0 + c1 + 2) / (total.c0 + total.c1 + 4)  # z of the difference of two shares
+    z = (a - b) / np.sqrt(np.maximum(both * (1 - both) * (1 / (total.c1 + 2) + 1 / (total.c0 + 2)), 1e-12))
     order = np.argsort(-np.abs(z), kind="stable")
     order = order[np.abs(z[order]) >= min_z][:max_features]
     chosen, ratio = counts.bucket.to_numpy(np.int64)[order], ratio[order]
