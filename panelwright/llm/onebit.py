@@ -12,7 +12,8 @@ vectors whose upper bound reaches it are reranked with exact double-precision pr
 best k of all blocks win (ties to the smaller id).  Every vector's code is looked at; the queries
 are a stated set, so blocks of queries meet blocks of codes.
 
-Index blocks hold at most ``block`` rows, query blocks about ``query_block``; tasks hold one pair.
+Index blocks hold at most ``block`` rows, query blocks about ``query_block``; a task looks at one
+pair at a time and carries only the best k of its queries on.
 
 Defined cases: vectors that are NULL, all zero, hold NULL or non-finite components, or have
 another length than most vectors (ties: the shorter) take no part, as do NULL ids; a repeated id
@@ -126,6 +127,7 @@ def search(
     )  # each part has about query_block rows
 
     def run(batches):
+        best: dict[int, list[np.ndarray]] = {}  # of each query block met in this task: the best k so far of each query
         for batch in batches:
             for i in range(batch.num_rows):
                 raw = [batch.column(j)[i].as_py() for j in range(6)]
@@ -137,10 +139,21 @@ def search(
                     ids, np.frombuffer(raw[1], "<f8").reshape(n, size), np.frombuffer(raw[2], np.uint8).reshape(n, -1), np.frombuffer(raw[3]),
                     np.frombuffer(raw[4]), np.frombuffer(raw[5]), query_ids, q, k, bound, seed,
                 )
-                columns = list(zip(*found)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    met = blocks.join(asked, "part").select("ids", "vectors", "codes", "lengths", "fixes", "centre", "query_ids", "queries")
+                if not found:
+                    continue
+                part = batch.column(8)[i].as_py()
+                made = [np.array(c, t) for c, t in zip(zip(*found), (np.int64, np.int64, float))]
+                if part in best:
+                    made = [np.concatenate(x) for x in zip(best[part], made)]
+                order = np.lexsort((made[1], -made[2], made[0]))
+                made = [c[order] for c in made]
+                first = np.flatnonzero(np.r_[True, made[0][1:] != made[0][:-1]])
+                place = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+                best[part] = [c[place < k] for c in made]
+        for columns in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "vec_id", "score"])
+
+    met = blocks.join(asked, "part").select("ids", "vectors", "codes", "lengths", "fixes", "centre", "query_ids", "queries", "part")
     found = met.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
