@@ -70,10 +70,7 @@ SCORE_FIELDS = {
 
 
 def score_panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide scores of eight models (signs of daily features plus integer noise) and the next close return.
-
-    Dates with a single stock have no cross-section and are outside the score contract.
-    """
+    """Wide scores of eight models (signs of daily features plus integer noise) and the next close return."""
     fields = [name.lstrip("-").split(" ")[0] for name in SCORE_FIELDS.values()]
     base = features.daily_features(adjusted_daily(spark, sf), fields, keep=["close_adj"])
     ahead = "lead(close_adj) OVER (PARTITION BY Code ORDER BY Date)"
@@ -85,7 +82,12 @@ def score_panel(spark: SparkSession, sf: str) -> DataFrame:
         ],
         f"CASE WHEN abs(close_adj) > 1e-12D THEN {ahead} / close_adj - 1D END AS raw_return",
     )
-    sizes = with_group_stats(stage(scored), ["Date"], {"_n": F.count(F.lit(1))})
+    return scored
+
+
+def cross_sections(panel: DataFrame) -> DataFrame:
+    """The dates on which ranks can be compared: those with two stocks at least."""
+    sizes = with_group_stats(stage(panel), ["Date"], {"_n": F.count(F.lit(1))})
     return sizes.filter("_n >= 2").drop("_n")
 
 
@@ -501,12 +503,14 @@ c AS (SELECT model, Date, Code, rk - (n + 1) / 2.0::DOUBLE AS d FROM ranks),
 pr AS (SELECT a.model AS model_a, b.model AS model_b, a.Date, sum(a.d * b.d) / sqrt(sum(a.d * a.d) * sum(b.d * b.d)) AS rho
        FROM c a JOIN c b ON a.Date = b.Date AND a.Code = b.Code GROUP BY 1, 2, 3)""") + "SELECT model_a, model_b, round(avg(rho), 6) AS correlation FROM pr GROUP BY 1, 2")
 def daily_spearman_matrix(spark, sf):
-    return rounded(predictions.average_daily_spearman(score_panel(spark, sf).drop("raw_return")))
+    """Rank dependence is defined for dates with two stocks or more; others have no part in it."""
+    return rounded(predictions.average_daily_spearman(cross_sections(score_panel(spark, sf)).drop("raw_return")))
 
 
 @query("rank_zscore_ensemble", O.cte(*O.scores_chain(), O.RANKED, "zz AS (SELECT Date, Code, (rk - (n + 1) / 2.0::DOUBLE) / stddev_samp(rk) OVER (PARTITION BY model, Date) AS z FROM ranks)") + "SELECT Date, Code, round(avg(z), 6) AS ensemble_score FROM zz GROUP BY Date, Code")
 def rank_zscore_ensemble(spark, sf):
-    return rounded(predictions.rank_zscore_ensemble(score_panel(spark, sf)))
+    """Rank z-scores are defined for dates with two stocks or more; others have no part in it."""
+    return rounded(predictions.rank_zscore_ensemble(cross_sections(score_panel(spark, sf))))
 
 
 # ---- portfolios -----------------------------------------------------------------------------------------------
@@ -581,7 +585,7 @@ def staged_ic_selection(spark, sf):
 @query("backtest_report", None)
 def backtest_report(spark, sf):
     """The whole evaluation job: alignment, ensemble, grid, all periods, nine score columns."""
-    panel = stage(score_panel(spark, sf))
+    panel = stage(cross_sections(score_panel(spark, sf)))  # the ensemble needs two stocks a date
     long = long_scores(panel).select("model", F.col("Date").cast("string").alias("Date"), "Code", "score")
     long = predictions.read_prediction(long, "score", keep=["model"])
     return jobs.evaluate(long, panel.select("Date", "Code", "raw_return"), label="1995-2001")["portfolio_summary"]

@@ -359,8 +359,7 @@ def scores_chain() -> tuple[str, ...]:
         DAILY, adjusted("daily"), lookback(),
         f"scores AS (SELECT Code, Date, {cols}, "
         f"{q(f'lead({C}) OVER (PARTITION BY Code ORDER BY Date)', C)} - 1 AS ret FROM look)",
-        "wide2 AS (SELECT *, count(*) OVER (PARTITION BY Date) AS nd FROM scores)",
-        "sw AS (SELECT * EXCLUDE (nd) FROM wide2 WHERE nd >= 2)",
+        "sw AS (SELECT * FROM scores)",
         "sl AS (SELECT Code, Date, model, score, ret FROM (SELECT Code, Date, ret, " + ", ".join(MODELS) + " FROM sw) "
         "UNPIVOT (score FOR model IN (" + ", ".join(MODELS) + ")))",
     )
@@ -394,7 +393,7 @@ SUMMARY = (
 )
 RANKED = (
     "ranks AS (SELECT model, Date, Code, score, ret, rank() OVER (PARTITION BY model, Date ORDER BY score) + "
-    "(count(*) OVER (PARTITION BY model, Date, score) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY model, Date) AS n FROM sl)"
+    "(count(*) OVER (PARTITION BY model, Date, score) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY model, Date) AS n FROM sl QUALIFY n >= 2)"
 )
 IC = (
     "pairs AS (SELECT model, Date, score AS s, ret AS r FROM sl WHERE ret IS NOT NULL)",

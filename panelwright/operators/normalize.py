@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +22,9 @@ MAD_SCALE = 1.4826
 CLIP_SIGMAS = 3.0
 MIN_VALID = 10
 
+# Executors need numpy and pyarrow, not this package: the kernel travels with the plan.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # One date's block (rows x columns, 4 bytes each) may use this many cells in a task.
 BLOCK_CELLS = 64_000_000
 BINS = 2048
