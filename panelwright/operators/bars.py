@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import formulas as T
 from ..functions import keys as K
 from ..functions.safe import change, number, ratio, step_return
-from .contracts import require_columns
+from .contracts import require_columns, row_guard
 
 OHLC = ("open", "high", "low", "close")
 
@@ -94,10 +94,10 @@ def prepare_daily_panel(bars: DataFrame, prefixes: Sequence[str] = K.CODE_PREFIX
         empty = kept.select((F.count(given) == 0).alias("empty")).scalar()
         vwap = F.when(empty, implied).otherwise(given)
     adjusted = {f"{name}_adj": number(F.col(name)) * F.col("_factor") for name in (*OHLC, "pre_close")}
-    date = F.coalesce(F.col("_date"), F.raise_error(F.lit("daily bars contain invalid dates")).cast("int"))
+    kept = kept.filter(row_guard(F.col("_date").isNotNull(), "daily bars contain invalid dates"))
     return kept.select(
         F.col("_code").alias("Code"),
-        date.alias("Date"),
+        F.col("_date").alias("Date"),
         *[column.alias(name) for name, column in adjusted.items()],
         (vwap * F.col("_factor")).alias("vwap_adj"),
         (F.col("_vol") * 100.0).alias("volume_shares"),
@@ -116,11 +116,12 @@ def prepare_minute_panel(bars: DataFrame, prefixes: Sequence[str] = K.CODE_PREFI
             "_minute": _minute(bars),
         }
     ).filter(K.has_prefix(F.col("_code"), prefixes))
-    minute = F.coalesce(F.col("_minute"), F.raise_error(F.lit("minute bars contain invalid minutes")).cast("int"))
+    named = named.filter(row_guard(F.col("_date").isNotNull(), "minute bars contain invalid dates"))
+    named = named.filter(row_guard(F.col("_minute").isNotNull(), "minute bars contain invalid minutes"))
     return named.select(
         F.col("_code").alias("Code"),
         F.col("_date").alias("Date"),
-        minute.alias("Minute"),
+        F.col("_minute").alias("Minute"),
         *[number(F.col(name)).alias(name) for name in (*OHLC, "vol")],
         (number(F.col("amount")) * _factor(bars)).alias("amount_adj"),
     )
@@ -149,21 +150,22 @@ def minute_returns(minutes: DataFrame, keys: Sequence[str]) -> DataFrame:
     group = Window.partitionBy(*keys)
     previous = F.lag("close").over(group.orderBy("Minute"))
     repeated = F.lag("Minute").over(group.orderBy("Minute")) == F.col("Minute")
-    failure = F.raise_error(F.lit("minute panel contains duplicate (Code, Minute) keys")).cast("double")
     sums = minutes.withColumns(
         {
-            "ret": F.when(repeated, failure).otherwise(step_return(F.col("close"), previous)),
+            "ret": step_return(F.col("close"), previous),
+            "_repeated": F.coalesce(repeated, F.lit(False)),
             "_amount": F.coalesce(F.sum("amount_adj").over(group), F.lit(0.0)),
             "_vol": F.coalesce(F.sum("vol").over(group), F.lit(0.0)),
             "_open": F.expr(_first("open")).over(group),
         }
     )
+    sums = sums.filter(row_guard(~F.col("_repeated"), "minute panel contains duplicate (Code, Minute) keys"))
     return sums.withColumns(
         {
             "dev_vwap": change(F.col("close"), ratio(F.col("_amount"), F.col("_vol"))),
             "dev_open": change(F.col("close"), F.col("_open")),
         }
-    ).drop("_amount", "_vol", "_open")
+    ).drop("_amount", "_vol", "_open", "_repeated")
 
 
 # Statistics of one bar over its minute rows (see ``minute_returns``).

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import year_of
-from .contracts import require_empty
+from .contracts import require_empty, row_guard
 
 # Signal dates marked at the tail of each split, and the split names.
 PURGE_SIGNAL_DATES = 3
@@ -60,11 +60,17 @@ def map_endpoints(signal_dates: DataFrame, calendar: DataFrame) -> DataFrame:
     return signals.join(ends, "Date").select(F.col("Date").alias("signal_date"), "entry_date", "exit_date")
 
 
+def _dated(dates: DataFrame) -> DataFrame:
+    """Distinct dates and their years; a date that is not ``YYYYMMDD`` fails the job."""
+    known = dates.select("Date").distinct().withColumn("year", year_of(F.col("Date")))
+    return known.filter(row_guard(F.col("year").isNotNull(), "dates must be YYYYMMDD integers"))
+
+
 def dates_in_years(dates: DataFrame, first: int, last: int) -> DataFrame:
     """Distinct dates whose year lies in an inclusive range."""
     if first > last:
         raise ValueError(f"invalid year range: {(first, last)}")
-    return dates.select("Date").distinct().filter(year_of(F.col("Date")).between(first, last))
+    return _dated(dates).filter(F.col("year").between(first, last)).select("Date")
 
 
 def date_roles(
@@ -86,7 +92,7 @@ def date_roles(
     years = spark.createDataFrame(ranges, "fold_id string, split string, lo int, hi int").select(
         "fold_id", "split", F.explode(F.sequence("lo", "hi")).alias("year")
     )
-    signals = signal_dates.select("Date").distinct().withColumn("year", year_of(F.col("Date")))
+    signals = _dated(signal_dates)
     placed = signals.join(F.broadcast(years), "year").join(sessions(calendar), "Date", "left")
     latest_first = Window.partitionBy("fold_id", "split").orderBy(F.desc("signal_date"))
     exit_date = F.coalesce(

@@ -83,6 +83,15 @@ def checked(value: Column, valid: Column, message: str) -> Column:
     return F.when(F.coalesce(valid, F.lit(False)), value).otherwise(F.raise_error(F.lit(message)))
 
 
+def row_guard(valid: Column, message: str) -> Column:
+    """A filter that keeps every row and fails the running job where *valid* does not hold.
+
+    Unlike :func:`checked` it belongs to no column, so a later select cannot prune it.  Not for
+    columns from the optional side of an outer join: the optimizer tries such filters on NULLs.
+    """
+    return F.when(F.coalesce(valid, F.lit(False)), F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+
+
 def conflicting_entry_dates(roles: DataFrame) -> DataFrame:
     """Entry dates that belong to more than one signal date."""
     return (

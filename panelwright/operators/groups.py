@@ -77,7 +77,7 @@ def _split_points(frame: DataFrame, keys: Sequence[str], order: Column) -> DataF
     keyed = frame.select(*keys, order.alias("_key")).join(F.broadcast(sizes), list(keys))
     every = F.greatest(F.lit(1), F.floor(F.col("_n") / SAMPLE_ROWS)).cast("long")
     sample = keyed.filter(F.pmod(F.xxhash64("_key"), every) == 0)
-    pieces = F.least(F.lit(512), F.ceil(2 * F.max("_n") / WINDOW_ROWS) + 1)
+    pieces = F.ceil(2 * F.max("_n") / WINDOW_ROWS) + 1
     points = sample.groupBy(*keys).agg(
         F.array_sort(F.collect_set("_key")).alias("_all"), pieces.cast("int").alias("_pieces")
     )
@@ -106,8 +106,8 @@ def with_position(
 
     rows = stage(frame.withColumns({"_order": F.struct(*order), "_weight": weight}))
     points = stage(_split_points(rows, keys, F.col("_order")))
-    # Hot groups only: at most rows / WINDOW_ROWS of them, each with <= 512 points.
-    rows = rows.join(F.broadcast(points), list(keys), "left")
+    # Hot groups only; without a hint, the size of the staged table decides on a broadcast.
+    rows = rows.join(points, list(keys), "left")
     below = F.size(F.filter("_points", lambda point: point < F.col("_order")))
     rows = rows.withColumn("_piece", F.coalesce(F.when(F.col("_points").isNotNull(), below), F.lit(0))).drop("_points")
     pieces = rows.groupBy(*keys, "_piece").agg(F.sum("_weight").alias("_in_piece"))
@@ -116,7 +116,7 @@ def with_position(
     offsets = offsets.filter(F.col("_piece") > 0)
     inside = Window.partitionBy(*keys, "_piece").orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("_inside", F.sum("_weight").over(inside))
-    placed = placed.join(F.broadcast(offsets), [*keys, "_piece"], "left")
+    placed = placed.join(offsets, [*keys, "_piece"], "left")
     placed = placed.withColumn(output, F.col("_inside") + F.coalesce("_offset", F.lit(0)))
     return placed.drop("_order", "_weight", "_piece", "_inside", "_offset")
 

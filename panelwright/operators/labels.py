@@ -12,7 +12,7 @@ from ..functions import keys as K
 from ..functions.safe import change, finite, is_finite, number, ratio
 from ..registry import protocol_key
 from ..session import stage
-from .bars import _factor, _minute, _spelling
+from .bars import _date, _factor, _minute, _spelling
 from .calendar import sessions
 from .contracts import checked, require_columns
 from .groups import GroupProfile, profile_groups, with_group_stats
@@ -61,7 +61,7 @@ def _keyed(bars: DataFrame) -> DataFrame:
     code = K.normalize_code(_spelling(bars, "Code"))
     keyed = bars.select(
         code.alias("Code"),
-        *(["Date"] if "Date" in bars.columns else []),
+        *([_date(bars).alias("Date")] if "Date" in bars.columns or "date" in bars.columns else []),
         *([_minute(bars).alias("Minute")] if "Minute" in bars.columns or "minute" in bars.columns else []),
         (number(F.col("amount")) * _factor(bars)).alias("_amount"),
         number(F.col("vol")).alias("_vol"),
@@ -107,7 +107,7 @@ def forward_returns(bars: DataFrame, protocol: str, calendar: DataFrame | None =
     """
     spec = label_spec(protocol)
     vwaps = entry_exit_vwaps(bars, protocol)
-    days = sessions(calendar if calendar is not None else bars.select("Date"))
+    days = sessions(calendar if calendar is not None else bars.select(_date(bars).alias("Date")))
     days = days.filter(F.col("exit_date").isNotNull()).select(F.col("Date").alias("signal"), "entry_date", "exit_date")
     stock = Window.partitionBy("Code").orderBy("Date")
     following = vwaps.select(

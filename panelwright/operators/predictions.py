@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions.safe import finite, is_finite, strict_number
 from ..registry import EIGHT_MODELS
-from .contracts import checked, require_columns
+from .contracts import checked, require_columns, row_guard
 from .groups import GroupProfile, average_rank, average_rank_over, profile_groups, with_group_stats
 
 KEYS = ("Date", "Code")
@@ -87,9 +87,7 @@ def align_predictions(long: DataFrame, models: Sequence[str] = EIGHT_MODELS) ->
     complete = F.col("_rows") == len(models)
     for model in models:
         complete = complete & F.col(model).isNotNull()
-    first, *rest = models
-    guarded = checked(F.col(first), complete, "model Date/Code keys do not match the reference panel")
-    return wide.select(*KEYS, guarded.alias(first), *rest)
+    return wide.filter(row_guard(complete, "some keys do not match: a model lacks them or repeats them")).select(*KEYS, *models)
 
 
 def align_model_predictions(

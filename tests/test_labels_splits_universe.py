@@ -38,6 +38,22 @@ def test_forward_labels(frame, protocol, early):
     np.testing.assert_allclose(label[spec.target_column], [-1.0, 0.0, 1.0], atol=1e-6)
 
 
+def test_text_dates_label_alike(frame):
+    minutes = (930, 931, 932, 933, 934, 935)
+    rows = constant_bars(DAYS[1], (10.0, 10.0, 10.0), minutes) + constant_bars(DAYS[2], (9.0, 10.0, 11.0), minutes)
+    calendar = frame([(d,) for d in DAYS], "Date int")
+    text = frame(rows, BARS).withColumn("date", F.date_format(F.to_date(F.col("Date").cast("string"), "yyyyMMdd"), "yyyy-MM-dd"))
+    label = LB.forward_returns(text, "o2o", calendar).toPandas()
+    assert label["Date"].tolist() == [DAYS[0]] * 3
+
+
+def test_bad_dates_fail(frame):
+    dates = frame([(19960101,), (123,), (19970101,)], "Date int")
+    with pytest.raises(Exception, match="YYYYMMDD"):
+        C.dates_in_years(dates, 1996, 1997).collect()
+    assert C.dates_in_years(dates.filter("Date > 123"), 1996, 1996).count() == 1
+
+
 def test_endpoints_use_the_calendar(frame):
     calendar = frame([(d,) for d in (20240102, 20240103, 20240105, 20240108)], "Date int")
     signals = frame([(20240102,), (20240103,), (20240105,), (20240106,)], "Date int")

@@ -75,6 +75,8 @@ def test_alignment_and_outcomes(frame):
     short["mamba"] = short["mamba"].filter("Date = '2024-01-02'")
     with pytest.raises(Exception, match="do not match"):
         PR.align_model_predictions(short).collect()
+    with pytest.raises(Exception, match="do not match"):  # also where the offending model is not selected
+        PR.align_model_predictions(short).select("Date", "gru").collect()
     assert [tuple(r) for r in PR.alignment_counts(PR.stack_predictions(short)).collect()] == [("mamba", 1, 0)]
     outcomes = frame([("2024-01-02", "1", 0.1), ("2024-01-03", "1", float("inf"))], "Date string, Code string, return double")
     attached = PR.attach_outcomes(wide, outcomes)
