@@ -12,9 +12,10 @@ The dictionary is trained on the id arrays of at most ``train_docs`` documents (
 of their ids) and ``TRAIN_BYTES`` bytes; every document is encoded and written.
 
 Words of a text are encoded by the tokenizer once per task and memoised in a table of bounded
-size: a byte-level BPE never merges across the start of a word with one blank before it.  Texts
-with a blank next to other white space, or with the text of a special token, go through the
-tokenizer whole.
+size: a byte-level BPE never merges across the start of a word with one blank before it.  New
+words go through the tokenizer many in a line, which is cut again where an id holds the blank.
+Texts with a blank next to other white space, or with the text of a special token, go through
+the tokenizer whole.
 
 Defined cases: NULL text counts as empty (only the end id); NULL ids sort first; repeated ids
 stand next to each other, ordered by their frames; an empty table gives an empty file set; other
@@ -46,6 +47,8 @@ TRAIN_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 MEMO = 600_000
+LINE = 512
+BLANK = "Ġ"  # the byte-level form of the blank
 _ODD = re.compile(r" \s|\s ")
 
 
@@ -60,11 +63,27 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for piece, i in vocabulary.items() if piece.startswith(BLANK)]] = True
         self.memo: dict[str, bytes] = {}  # ids of a word with one blank before it
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with one blank before it; no word ends in white space."""
+        lines = [words[at : at + LINE] for at in range(0, len(words), LINE)]
+        out: list[bytes] = []
+        for line, ids in zip(lines, self._encode(["".join([" " + w for w in line]) for line in lines])):
+            starts = np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])
+            if len(starts) == len(line):
+                cuts = (starts * 4).tolist() + [len(ids)]
+                out.extend([ids[a:b] for a, b in zip(cuts, cuts[1:])])
+            else:
+                out.extend(self._encode([" " + w for w in line]))
+        return out
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         memo = self.memo
         if len(memo) > MEMO:
@@ -83,8 +102,10 @@ class Encoder:
             wanted.update(words)
         new = [w for w in wanted if w not in memo]
         for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            memo.update(zip(part, self._encode([" " + w for w in part])))
+            part = [w for w in new[at : at + 20_000] if w and not w[-1].isspace()]
+            memo.update(zip(part, self._words(part)))
+        rest = [w for w in new if w not in memo]
+        memo.update(zip(rest, self._encode([" " + w for w in rest])))
         return [head + b"".join(map(memo.__getitem__, words)) for head, words in zip(self._encode(heads), split)]
 
 
