@@ -206,9 +206,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(node, label): the smallest node of each component, by minima over links and pointer jumps.
+    """(node, label): the smallest node of each component.
 
-    ``labels`` may hold the components of earlier links; nodes without links are not listed.
+    Every round, a node and the node that labels it take the smallest label among the node's
+    links, and labels jump to their own labels, so the rounds grow with the logarithm of the
+    longest chain.  ``labels`` may hold the components of earlier links; nodes without links are not listed.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     start = both.select(F.col("a").alias("node")).distinct()
@@ -226,7 +228,11 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     both, labels = stage(both), stage(start)
     while True:
         passed = both.join(labels, both.a == labels.node).select(F.col("b").alias("node"), "label")
-        lower = stage(labels.select("node", "label", F.col("label").alias("was")).unionByName(passed.withColumn("was", F.lit(None).cast("long"))).groupBy("node").agg(
+        none = F.lit(None).cast("long")
+        lower = labels.select("node", "label", F.col("label").alias("was")).unionByName(passed.withColumn("was", none)).groupBy("node").agg(
+            F.min("label").alias("label"), F.max("was").alias("was"))
+        hooks = F.array(F.struct("node", "label", "was"), F.struct(F.col("was").alias("node"), "label", none.alias("was")))
+        lower = stage(lower.select(F.explode(hooks).alias("x")).select("x.*").filter("node IS NOT NULL").groupBy("node").agg(
             F.min("label").alias("label"), F.max("was").alias("was")))
         up = lower.select(F.col("node").alias("label"), F.col("label").alias("top"))
         jumped = stage(lower.join(up, "label").select("node", F.col("top").alias("label"), "was"))
