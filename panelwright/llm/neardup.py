@@ -12,7 +12,8 @@ Links are confirmed on the full sets.  To keep that cheap, it goes by rounds: fi
 candidate of each node, then all candidates between different components, then hubs: in each
 bucket of a tree that still holds several components, every member of another component meets the
 bucket's member with most close candidates.  Hub rounds end when they bring no new link; a last
-look at each order pairs the next WIDE nodes of other components.  A group of thousands of copies
+look at each order takes, among the next WIDE places, the pairs in which each end is one of the
+other's CLOSEST nodes of its component, by sketch, so that two components are not paired node by node.  A group of thousands of copies
 around one original is thus linked with a number of pairs proportional to its size.  A 128-bit sketch (one bit of each MinHash value) drops candidates that are farther from the
 threshold than six standard deviations.
 
@@ -43,7 +44,8 @@ TREES = 16
 DEPTH = 8
 FLOOR = 3
 WIDTH = 1
-WIDE = 96
+WIDE = 32
+CLOSEST = 8
 SEED = 97
 MASK_BITS = 1 << 22
 BITS = TREES * DEPTH
@@ -131,6 +133,17 @@ def _far(percent: int) -> int:
     return int(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
 
 
+def _closest(node: np.ndarray, other: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether a pair is one of the CLOSEST of its node with a component."""
+    by = np.lexsort((apart, other, node))
+    new = np.ones(len(by), bool)
+    new[1:] = (node[by][1:] != node[by][:-1]) | (other[by][1:] != other[by][:-1])
+    place = np.arange(len(by)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    keep = np.empty(len(by), bool)
+    keep[by] = place < CLOSEST
+    return keep
+
+
 def neighbours(order: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
     """Candidate pairs (a < b, far) of a forest: near places of an order, not of the same ``label``.
 
@@ -166,8 +179,12 @@ def neighbours(order: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
                 apart = np.bitwise_count((b1[x] ^ b1[y]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b2[x] ^ b2[y]).view(np.uint64))
                 close = apart <= far
                 x, y = x[close], y[close]
-                found.append(np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart[close]]))
-            pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+                found.append(np.column_stack([x, y, apart[close]]))
+            x, y, apart = np.concatenate(found).T if found else np.zeros((3, 0), np.int64)
+            if width > CLOSEST and len(x):
+                both = _closest(node[x], label[y], apart) & _closest(node[y], label[x], apart)
+                x, y, apart = x[both], y[both], apart[both]
+            pairs = np.unique(np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)] + [pa.nulls(len(pairs), pa.int64())] * len(columns), names=["a", "b", "far", *columns])
             held = [c[-width:] for c in rows]
         if held is not None and edges:
