@@ -12,7 +12,8 @@ Links are confirmed on the full sets.  To keep that cheap, it goes by rounds: fi
 candidate of each node, then all candidates between different components, then hubs: in each
 bucket of a tree that still holds several components, every member of another component meets the
 bucket's member with most close candidates.  Hub rounds end when they bring no new link; a last
-look at each order takes, among the next WIDE places, the pairs in which each end is one of the
+look at each order takes, among the next WIDE places
+that share one value more than the floor, the pairs in which each end is one of the
 other's CLOSEST nodes of its component, by sketch, so that two components are not paired node by node.  A group of thousands of copies
 around one original is thus linked with a number of pairs proportional to its size.  A 128-bit sketch (one bit of each MinHash value) drops candidates that are farther from the
 threshold than six standard deviations.
@@ -44,7 +45,7 @@ TREES = 16
 DEPTH = 8
 FLOOR = 3
 WIDTH = 1
-WIDE = 32
+WIDE = 24
 CLOSEST = 8
 SEED = 97
 MASK_BITS = 1 << 22
@@ -167,12 +168,13 @@ def neighbours(order: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
             rows = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             start = 0 if held is None else len(held[0])
             tree, k1, _, _, node, n, b1, b2, label = rows
-            bucket = (k1 >> 16) * TREES + tree  # the floor prefix is the upper 48 bits of k1
+            # the floor prefix is the upper 48 bits of k1; a wide look goes a value deeper
+            bucket = (k1 >> 16) if width <= CLOSEST else k1
             size = len(tree)
             found = []
             for lag in range(1, min(width, size - 1) + 1):
                 low = max(start, lag)
-                y = np.flatnonzero((bucket[low - lag : size - lag] == bucket[low:]) & (label[low - lag : size - lag] != label[low:])) + low
+                y = np.flatnonzero((bucket[low - lag : size - lag] == bucket[low:]) & (tree[low - lag : size - lag] == tree[low:]) & (label[low - lag : size - lag] != label[low:])) + low
                 x = y - lag
                 fits = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
                 x, y = x[fits], y[fits]
