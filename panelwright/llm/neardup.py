@@ -11,12 +11,14 @@ has to fit in one task; the edges of the partitions are paired separately.
 Links are confirmed on the full sets.  To keep that cheap, it goes by rounds: first the closest
 candidate of each node, then all candidates between different components, then hubs: in each
 bucket of a tree that still holds several components, every member of another component meets the
-bucket's member with most close candidates.  Hub rounds end when they bring no new link; a last
-look at each order takes, among the next WIDE places
-that share one value more than the floor, the pairs in which each end is one of the
-other's CLOSEST nodes of its component, by sketch, so that two components are not paired node by node.  A group of thousands of copies
-around one original is thus linked with a number of pairs proportional to its size.  A 128-bit sketch (one bit of each MinHash value) drops candidates that are farther from the
-threshold than six standard deviations.
+bucket's member with most close candidates.  Hub rounds end when they bring no new link.  The
+rounds so far only join components early; what decides is the last part: in each bucket (equal
+floor prefix) that still holds several components, every pair of nodes of different components is
+compared by ``open_pairs``, in blocks of at most about 2 BLOCK nodes, so that a crowded bucket is
+spread over tasks.  The blocks run with the closest node of each node until no link comes, then
+with all pairs.  Only pairs that a 128-bit sketch (one bit of each MinHash value) and the MinHash
+values themselves (a byte of each) put within six standard deviations of the threshold become
+rows, and each is confirmed on the full sets.
 
 At a similarity of 0.85 a pair shares the floor prefix in one of 16 trees but for a chance of
 2e-7 (0.8: 1e-5).
@@ -45,8 +47,7 @@ TREES = 16
 DEPTH = 8
 FLOOR = 3
 WIDTH = 1
-WIDE = 24
-CLOSEST = 8
+BLOCK = 2048
 SEED = 97
 MASK_BITS = 1 << 22
 BITS = TREES * DEPTH
@@ -83,13 +84,13 @@ def minhash(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, s1, s2 (128-bit identity of the set), signature and sketch (NULL for empty sets)."""
+    """doc_id, n, s1, s2 (128-bit identity of the set), signature, a byte of each MinHash value and sketch (NULL for empty sets)."""
     def run(batches):
         import xxhash
 
         a, b = _multipliers()
         for batch in batches:
-            sizes, one, two, signs, sketches = [], [], [], [], []
+            sizes, one, two, signs, lows, sketches = [], [], [], [], [], []
             for text in text_bytes(batch.column(1)):
                 items = shingle_set(text, words)
                 sizes.append(len(items))
@@ -98,18 +99,20 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 two.append(int.from_bytes(mark[8:], "little", signed=True))
                 if not len(items):
                     signs.append(None)
+                    lows.append(None)
                     sketches.append((None, None))
                     continue
                 low = minhash(items, a, b)
                 signs.append((low >> np.uint64(3)).astype(">u2").tobytes())
+                lows.append((low >> np.uint64(24)).astype(np.uint8).tobytes())
                 sketches.append(np.packbits(((low >> np.uint64(20)) & np.uint64(1)).astype(bool)).view("<i8").tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signs, pa.binary()),
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signs, pa.binary()), pa.array(lows, pa.binary()),
                  pa.array([x for x, _ in sketches], pa.int64()), pa.array([y for _, y in sketches], pa.int64())],
-                names=["doc_id", "n", "s1", "s2", "signature", "b1", "b2"],
+                names=["doc_id", "n", "s1", "s2", "signature", "low", "b1", "b2"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, signature binary, b1 long, b2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, signature binary, low binary, b1 long, b2 long")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
@@ -134,15 +137,10 @@ def _far(percent: int) -> int:
     return int(BITS * p + 6 * math.sqrt(BITS * p * (1 - p)))
 
 
-def _closest(node: np.ndarray, other: np.ndarray, apart: np.ndarray) -> np.ndarray:
-    """Whether a pair is one of the CLOSEST of its node with a component."""
-    by = np.lexsort((apart, other, node))
-    new = np.ones(len(by), bool)
-    new[1:] = (node[by][1:] != node[by][:-1]) | (other[by][1:] != other[by][:-1])
-    place = np.arange(len(by)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    keep = np.empty(len(by), bool)
-    keep[by] = place < CLOSEST
-    return keep
+def _alike(percent: int) -> int:
+    """MinHash values that agree at the threshold, less six standard deviations."""
+    p = percent / 100
+    return math.ceil(BITS * p - 6 * math.sqrt(BITS * p * (1 - p)))
 
 
 def neighbours(order: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
@@ -168,8 +166,7 @@ def neighbours(order: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
             rows = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             start = 0 if held is None else len(held[0])
             tree, k1, _, _, node, n, b1, b2, label = rows
-            # the floor prefix is the upper 48 bits of k1; a wide look goes a value deeper
-            bucket = (k1 >> 16) if width <= CLOSEST else k1
+            bucket = k1 >> 16  # the floor prefix
             size = len(tree)
             found = []
             for lag in range(1, min(width, size - 1) + 1):
@@ -183,9 +180,6 @@ def neighbours(order: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
                 x, y = x[close], y[close]
                 found.append(np.column_stack([x, y, apart[close]]))
             x, y, apart = np.concatenate(found).T if found else np.zeros((3, 0), np.int64)
-            if width > CLOSEST and len(x):
-                both = _closest(node[x], label[y], apart) & _closest(node[y], label[x], apart)
-                x, y, apart = x[both], y[both], apart[both]
             pairs = np.unique(np.column_stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), apart]), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(3)] + [pa.nulls(len(pairs), pa.int64())] * len(columns), names=["a", "b", "far", *columns])
             held = [c[-width:] for c in rows]
@@ -268,7 +262,94 @@ def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _hub_pairs(order: DataFrame, pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def crowded(order: DataFrame) -> DataFrame:
+    """The places of an order whose bucket holds several nodes: tree, bucket, node, n, b1, b2."""
+    rows = order.select("tree", F.shiftright("k1", 16).alias("bucket"), "node", "n", "b1", "b2")
+    several = rows.groupBy("tree", "bucket").count().filter("count > 1")
+    return rows.join(several, ["tree", "bucket"], "left_semi")
+
+
+def _compared(rows: pa.Table, percent: int, closest: bool) -> pa.RecordBatch:
+    """The pairs of whole cells whose ends lie in different components and look similar enough."""
+    tree, bucket, ca, cb, block, node, n, b1, b2, label = (c.to_numpy() for c in rows.columns[:10])
+    sign = np.frombuffer(b"".join(rows.column(10).to_pylist()), np.uint8).reshape(-1, BITS)
+    size, least, far = len(node), _alike(percent), _far(percent)
+    new = np.ones(size, bool)
+    new[1:] = (tree[1:] != tree[:-1]) | (bucket[1:] != bucket[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])
+    room = np.arange(size) - np.flatnonzero(new)[np.cumsum(new) - 1]  # places of the cell before this one
+    split = ca != cb  # two blocks, each of which has a cell of its own
+    found, y, lag = [np.zeros((0, 3), np.int64)], np.arange(size), 0
+    while True:
+        lag += 1
+        y = y[room[y] >= lag]
+        if not len(y):
+            break
+        x = y - lag
+        keep = (label[x] != label[y]) & (~split[y] | (block[x] != block[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        i, j = x[keep], y[keep]
+        apart = np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b2[i] ^ b2[j]).view(np.uint64))
+        keep = apart <= far
+        i, j = i[keep], j[keep]
+        same = (sign[i] == sign[j]).sum(1)
+        keep = same >= least
+        found.append(np.column_stack([i[keep], j[keep], same[keep]]))
+    i, j, same = np.concatenate(found).T
+    if closest and len(i):
+        ends, at = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
+        by = np.lexsort((-same[at], ends))
+        first = np.ones(len(by), bool)
+        first[1:] = ends[by][1:] != ends[by][:-1]
+        at = np.unique(at[by][first])
+        i, j = i[at], j[at]
+    pairs = np.unique(np.column_stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def open_pairs(places: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, closest: bool = False) -> DataFrame:
+    """All pairs (a < b) of different components in a bucket that look similar enough, or the ``closest`` of each node.
+
+    The nodes of a bucket fall into blocks, those of its largest component into blocks of their
+    own; a cell is a pair of blocks, without those of the largest component with itself.
+    """
+    rows = stage(places.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    counts = rows.groupBy("tree", "bucket", "label").count()
+    top = counts.groupBy("tree", "bucket").agg(F.sum("count").alias("size"), F.max(F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    small = F.col("size") <= 2 * BLOCK
+    # a small bucket is one block
+    top = stage(top.select(
+        "tree", "bucket", F.when(~small, F.col("main.label")).alias("main"), F.when(small, 0).otherwise(F.ceil(F.col("main.count") / BLOCK)).cast("long").alias("mains"),
+        F.when(small, 1).otherwise(F.ceil((F.col("size") - F.col("main.count")) / BLOCK)).cast("long").alias("others"),
+    ))
+    signs = nodes.select("node", "low")
+    mine = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
+    rows = rows.join(top, ["tree", "bucket"]).withColumn("block", F.when(mine, F.col("others") + F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "others")))
+    met = F.sequence(F.lit(0).cast("long"), F.when(mine, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
+    cells = F.transform(met, lambda k: F.struct(F.least(k, "block").alias("ca"), F.greatest(k, "block").alias("cb")))
+    rows = rows.join(signs, "node").withColumn("cell", F.explode(cells))
+    key = ["tree", "bucket", "ca", "cb"]
+    rows = rows.select("tree", "bucket", "cell.ca", "cell.cb", "block", "node", "n", "b1", "b2", "label", "low").repartition(*key).sortWithinPartitions(*key, "node")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+            last = [now.column(k)[-1] for k in range(4)]
+            whole = np.ones(now.num_rows, bool)
+            for k in range(4):
+                whole &= now.column(k).to_numpy() == last[k].as_py()
+            cut = now.num_rows - int(whole.sum())
+            if cut:
+                yield _compared(now.slice(0, cut), percent, closest)
+            held = now.slice(cut)
+        if held is not None:
+            yield _compared(held, percent, closest)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def _hub_pairs(places: DataFrame, pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """In every bucket with several components: each member of another component with the hub.
 
     The hub is the member with most candidates that look similar enough: an original among its
@@ -277,8 +358,8 @@ def _hub_pairs(order: DataFrame, pairs: DataFrame, labels: DataFrame, percent: i
     close = pairs.filter(F.col("far") <= int(BITS * (1 - percent / 100) / 2))
     ends = close.select(F.col("a").alias("node")).unionAll(close.select(F.col("b").alias("node"))).groupBy("node").count()
     known = stage(labels.join(ends, "node", "left").select("node", "label", F.col("count").alias("degree")))
-    rows = order.join(known, "node", "left").select(
-        "tree", F.shiftright("k1", 16).alias("bucket"), "node", "n", "b1", "b2", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"),
+    rows = places.join(known, "node", "left").select(
+        "tree", "bucket", "node", "n", "b1", "b2", F.coalesce("label", "node").alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"),
     )
     rows = stage(rows)
     top = rows.groupBy("tree", "bucket").agg(
@@ -297,52 +378,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage(signatures(docs, words))
     full = rows.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = stage(full.groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("b1").alias("b1"), F.first("b2").alias("b2")))
+        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("low").alias("low")))
     order = stage(forest(nodes))
     pairs = stage(neighbours(order.withColumn("label", F.col("node")), percent))
-    labels = None
-    if not pairs.isEmpty():
+    places = stage(crowded(order))
+    labels = nodes.filter(F.lit(False)).select("node", F.col("node").alias("label"))
+    tried = sets = None
+
+    def linked(new: DataFrame) -> bool:
+        """Confirm the pairs not tried before; whether a link came."""
+        nonlocal labels, sets, tried
+        new = stage(new.select("a", "b") if tried is None else new.select("a", "b").join(tried, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            return False
+        tried = new if tried is None else tried.unionByName(new)
         # sets of the candidates only, from their texts
-        sides = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        tried = pairs.select("a", "b")
-        ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
-        best = ends.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-        sets = stage(item_sets(docs, sides, words))
-        links = stage(confirmed(best, sets, percent))
-        labels = components(links)
-        more = stage(confirmed(_between(tried.join(best, ["a", "b"], "left_anti"), labels), sets, percent))
-        links = links.unionByName(more)
-        if not more.isEmpty():
-            labels = components(more, labels)
-        wide = False
-        while not links.isEmpty():
-            if wide:
-                named = order.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-                new = neighbours(named, percent, WIDE).select("a", "b")
-            else:
-                new = _hub_pairs(order, pairs, labels, percent)
-            new = stage(new.join(tried, ["a", "b"], "left_anti"))
-            more = None
-            if not new.isEmpty():
-                tried = tried.unionByName(new)
-                sides = new.select(F.col("a").alias("node")).unionAll(new.select(F.col("b").alias("node"))).distinct()
-                missing = stage(sides.join(sets, "node", "left_anti"))
-                if not missing.isEmpty():
-                    sets = sets.unionByName(stage(item_sets(docs, missing, words)))
-                more = stage(confirmed(new, sets, percent))
-            if more is not None and not more.isEmpty():
-                labels = components(more, labels)
-            elif not wide:
-                wide = True
-                continue
-            if wide:
-                break
+        sides = new.select(F.col("a").alias("node")).unionAll(new.select(F.col("b").alias("node"))).distinct()
+        missing = stage(sides if sets is None else sides.join(sets, "node", "left_anti"))
+        if not missing.isEmpty():
+            more = stage(item_sets(docs, missing, words))
+            sets = more if sets is None else sets.unionByName(more)
+        links = stage(confirmed(new, sets, percent))
+        if links.isEmpty():
+            return False
+        labels = components(links, labels)
+        return True
+
+    ends = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "far"))
+    linked(ends.groupBy("a").agg(F.min(F.struct("far", "b")).alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct())
+    linked(_between(pairs, labels))
+    while linked(_hub_pairs(places, pairs, labels, percent)):
+        pass
+    while linked(open_pairs(places, nodes, labels, percent, closest=True)):
+        pass
+    linked(open_pairs(places, nodes, labels, percent))
     named = nodes.select("s1", "s2", "node")
-    if labels is not None:
-        named = named.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component"))
-    else:
-        named = named.withColumnRenamed("node", "component")
-    named = stage(named)
+    named = stage(named.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component")))
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -48,3 +48,28 @@ def test_odd_rows(table):
     kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3]
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
+
+
+def crowd(n, least, most):
+    """Copies of one template, most of them just too far from each other."""
+    draw = random.Random(11)
+    base = ["w%d" % i for i in range(160)]
+    rows = []
+    for i in range(n):
+        copy = list(base)
+        for at in draw.sample(range(160), draw.randrange(least, most + 1)):
+            copy[at] = "x%d" % draw.randrange(10_000)
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize("block", [neardup.BLOCK if hasattr(neardup, "BLOCK") else 0, 40])
+def test_links_in_a_crowded_bucket(table, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(neardup, "BLOCK", block, raising=False)
+    rows = crowd(500, 3, 4)
+    docs = table(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()}
+    want = brute(rows, 3, 85)
+    assert 20 < len({x[1] for x in want.values()}) < 480  # neither one group nor all apart
+    assert got == want
