@@ -4,7 +4,10 @@ A document gets two histograms: character classes, and the common function words
 words share one last cell).  The reference of a language is the mean of the histograms of its
 long enough documents, over the whole corpus (of character classes the median of each class,
 scaled to one, so that odd documents do not shift it).  The Jensen-Shannon distance (base 2, 0 to 1)
-between the two decides, under minimum-length guards.
+between the two decides, under minimum-length guards.  How far common words may lie is taken
+from the corpus: in each language and length band (powers of two, since short texts scatter more)
+the limit is the median distance and SPREADS times the spread of the half below it, which texts
+without common words or in another language do not widen.
 
 Defined cases: NULL text counts as empty; an empty or short text has no divergence (the guards
 leave it NULL) and fails the base rule; a NULL language, or one without a reference, is held
@@ -47,7 +50,12 @@ CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "wide", "other"
 MIN_CHAR_WORDS = 20
 MIN_COMMON_WORDS = 100
 MAX_CHAR_DISTANCE = 0.26
-MAX_WORD_DISTANCE = 0.75
+MAX_WORD_DISTANCE = 0.75  # only where no band has LEAST_DOCS documents
+
+SPREADS = 5
+LEAST_SPREAD = 0.02
+LEAST_DOCS = 20
+LAST_BAND = 12
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -134,15 +142,38 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total / 2))
 
 
+def _band() -> Column:
+    return F.least(F.floor(F.log2(F.col("__n_words"))), F.lit(LAST_BAND)).cast("int")
+
+
+def _limits(rows: DataFrame, references: DataFrame) -> DataFrame:
+    """ref_lang, ref_limits: the largest common-word distance of each length band with enough documents."""
+    rows = rows.select("__lang", _band().alias("band"), "w")
+    bare = F.array(*[F.lit(0.0)] * len(VOCABULARY), F.lit(1.0))  # a text without common words
+    references = references.withColumn("bare", _distance(bare, F.col("ref_common")))
+    own = rows.join(references.filter("ref_lang IS NOT NULL"), F.col("__lang") == F.col("ref_lang"))
+    every = rows.crossJoin(F.broadcast(references.filter("ref_lang IS NULL")))  # one row
+    far = [x.select("ref_lang", "band", "bare", _distance(F.col("w"), F.col("ref_common")).alias("d")) for x in (own, every)]
+    bands = far[0].unionAll(far[1]).groupBy("ref_lang", "band").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("d", [0.25, 0.5], 1000).alias("q"), F.first("bare").alias("bare"))
+    spread = F.greatest((F.col("q")[1] - F.col("q")[0]) / 0.6745, F.lit(LEAST_SPREAD))
+    bands = bands.filter(F.col("n") >= LEAST_DOCS).select("ref_lang", "band", F.col("q")[1].alias("middle"), spread.alias("spread"), (F.col("bare") * 0.99).alias("bare"))
+    # no wider than texts without common words lie, if the language's texts are well below that
+    limit = F.col("middle") + SPREADS * F.col("spread")
+    limit = F.when(F.col("bare") > F.col("middle") + 3 * F.col("spread"), F.least(limit, "bare")).otherwise(limit)
+    bands = bands.select("ref_lang", F.struct("band", limit.alias("limit")).alias("x"))
+    return bands.groupBy("ref_lang").agg(F.map_from_entries(F.collect_list("x")).alias("ref_limits"))
+
+
 def language_references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per language (and one with NULL for all documents): middle histograms as arrays.
+    """One row per language (and one with NULL for all documents): middle histograms as arrays, and word limits by band.
 
     Only documents that pass the base rule and the longer guard count, each with weight one.
     Means and medians are combined before the shuffle: a language with most rows needs no task of its own.
     """
     rows = _measured(docs.select(F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__body")), "__body", ["__lang"])
     rows = rows.filter(~_base_failed() & (F.col("__n_words") >= MIN_COMMON_WORDS))
-    rows = rows.select("__lang", _shares("__chars").alias("c"), _shares("__common").alias("w"))
+    rows = stage(rows.select("__lang", "__n_words", "__chars", "__common"))
+    rows = rows.select("__lang", "__n_words", _shares("__chars").alias("c"), _shares("__common").alias("w"))
     k, m = len(CLASSES), len(VOCABULARY) + 1
     middle = [F.percentile_approx(F.col("c")[i], 0.5, 1000).alias(f"c{i}") for i in range(k)] + [F.avg(F.col("w")[i]).alias(f"w{i}") for i in range(m)]
     both = rows.groupBy("__lang").agg(F.count(F.lit(1)).alias("n"), *middle)
@@ -154,13 +185,15 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
         F.array(*[F.col(f"c{i}") for i in range(k)]).alias("ref_chars"), F.array(*[F.col(f"w{i}") for i in range(m)]).alias("ref_common"),
     ]
     every = both.agg(*whole).filter("c0 IS NOT NULL").select(F.lit(None).cast("string").alias("ref_lang"), *packed)
-    return stage(both.filter("__lang IS NOT NULL").select(F.col("__lang").alias("ref_lang"), *packed).unionByName(every))
+    references = stage(both.filter("__lang IS NOT NULL").select(F.col("__lang").alias("ref_lang"), *packed).unionByName(every))
+    limits = _limits(rows, references).withColumnRenamed("ref_lang", "of")
+    return stage(references.join(limits, F.col("ref_lang").eqNullSafe(F.col("of")), "left").drop("of"))
 
 
-def _judged(measured: DataFrame, references: DataFrame, lang: Column, max_char: float, max_word: float) -> DataFrame:
+def _judged(measured: DataFrame, references: DataFrame, lang: Column, max_char: float, max_word: float | None) -> DataFrame:
     """Measured rows with ``__char_distance``, ``__word_distance`` and ``__kept``."""
     own = references.filter("ref_lang IS NOT NULL")
-    every = references.filter("ref_lang IS NULL").agg(F.first("ref_chars").alias("all_chars"), F.first("ref_common").alias("all_common"))
+    every = references.filter("ref_lang IS NULL").agg(F.first("ref_chars").alias("all_chars"), F.first("ref_common").alias("all_common"), F.first("ref_limits").alias("all_limits"))
     rows = measured.join(own, lang == F.col("ref_lang"), "left").join(F.broadcast(every), F.lit(True), "left")  # one row
     char = _distance(_shares("__chars"), F.coalesce("ref_chars", "all_chars"))
     word = _distance(_shares("__common"), F.coalesce("ref_common", "all_common"))
@@ -168,13 +201,18 @@ def _judged(measured: DataFrame, references: DataFrame, lang: Column, max_char:
         "__char_distance": F.when(F.col("__n_words") >= MIN_CHAR_WORDS, char),
         "__word_distance": F.when(F.col("__n_words") >= MIN_COMMON_WORDS, word),
     })
-    far = (F.coalesce("__char_distance", F.lit(0.0)) > max_char) | (F.coalesce("__word_distance", F.lit(0.0)) > max_word)
+    limit = F.lit(max_word)
+    if max_word is None:
+        # a band without a limit takes the widest of its language
+        found = [f(c) for c in ("ref_limits", "all_limits") for f in (lambda c: F.try_element_at(c, _band()), lambda c: F.array_max(F.map_values(c)))]
+        limit = F.coalesce(*found, F.lit(MAX_WORD_DISTANCE))
+    far = (F.coalesce("__char_distance", F.lit(0.0)) > max_char) | (F.coalesce("__word_distance", F.lit(0.0)) > limit)
     return rows.withColumn("__kept", ~_base_failed() & ~far)
 
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", references: DataFrame | None = None,
-    max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE,
+    max_char: float = MAX_CHAR_DISTANCE, max_word: float | None = None,
 ) -> DataFrame:
     """Per document: id, base counts, base_failed, both distances (NULL below the guards), kept."""
     references = language_references(docs, text_col, lang_col) if references is None else references
@@ -186,7 +224,7 @@ def quality_rules(
     )
 
 
-def keep_passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+def keep_passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_char: float = MAX_CHAR_DISTANCE, max_word: float | None = None) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
     references = language_references(docs, text_col, lang_col)
     rows = _judged(_measured(docs, text_col, None), references, F.col(lang_col).cast("string"), max_char, max_word)

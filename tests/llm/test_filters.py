@@ -62,6 +62,25 @@ def test_distance_by_hand(table):
     assert row.char_distance == pytest.approx(np.sqrt((kl(p, (p + q) / 2) + kl(q, (p + q) / 2)) / 2))
 
 
+def test_word_limit_rejects_junk_and_other_languages(table):
+    draw = random.Random(8)
+    other = [draw.choice("bcdfg") + draw.choice("aeiou") + "%s%d" % (draw.choice("lmnrt"), 0) for _ in range(5)] + ["stone", "river", "paper", "window", "garden", "winter"]
+    other = [w.replace("0", "a") for w in other]
+
+    def text(lang, n):
+        common = rules.COMMON_WORDS[lang].split()
+        return " ".join(draw.choice(common) if draw.random() < 0.3 else draw.choice(other) + draw.choice("abcdefgh") for _ in range(n))
+
+    rows = [(i, text(lang, draw.choice([110, 180, 400, 900])), lang, "s", 1, None) for i, lang in enumerate(["en", "fr", "de", "es"] * 100)]
+    clean = {r[0] for r in rows}
+    long = [draw.choice(other) + draw.choice("abcdefgh") for _ in range(300)]
+    rows += [(1000, " ".join(long), "en", "s", 1, None), (1001, " ".join(long[:120]), "de", "s", 1, None)]
+    rows += [(1100 + k, text(a, n), b, "s", 1, None) for k, (a, b, n) in enumerate([("de", "en", 300), ("en", "fr", 120), ("fr", "de", 900), ("en", "es", 400)])]
+    got = {r.doc_id: r for r in rules.quality_rules(table(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values()) and all(r.char_distance < rules.MAX_CHAR_DISTANCE for r in got.values())
+    assert {i for i in got if got[i].kept} == clean
+
+
 def test_site_quality(table, spark):
     docs = table(corpus(), SCHEMA)
     labels = table([(i, int(i % 6 > 0), None) for i in range(0, 60)] + [(5, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
