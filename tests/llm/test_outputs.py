@@ -43,6 +43,23 @@ def test_pack(table):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_published_licence_forms(table):
+    import textwrap
+
+    isc, bsd, mit = licenses.KNOWN["ISC"], licenses.KNOWN["BSD-2-Clause"], licenses.KNOWN["MIT"]
+    wrapped = isc.replace("above copyright notice", "above\ncopyright notice")
+    rows = [
+        (1, wrapped, "ISC"), (2, "ISC License\n\nCopyright (c) 2020, A. Holder <a@b.c>\n\n" + wrapped, "ISC"),
+        (3, "MIT License\n\nCopyright (c) 2020 A\n\n" + mit, "MIT"), (4, "The MIT License (MIT)\n\nCopyright The Authors\n\n" + textwrap.fill(mit, 60), "MIT"),
+        (5, "BSD 2-Clause License\n\nCopyright 2020 A\nAll rights reserved.\n\n" + bsd.replace("1. ", "\n* ").replace("2. ", "\n* "), "BSD-2-Clause"),
+        (6, "BSD 3-Clause License\n\n" + licenses.MORE["BSD-3-Clause"] if hasattr(licenses, "MORE") else "", "BSD-3-Clause"),
+        (7, isc.replace("copyright notice and ", ""), None), (8, "GNU License\n\n" + mit, None), (9, "copyright notice", None),
+    ]
+    rows += [(100 + w, "\n".join(textwrap.wrap(text, w)), name) for w in range(40, 100, 4) for name, text in (("ISC", isc), ("MIT", mit), ("BSD-2-Clause", bsd))][::4]
+    got = {r.doc_id: r.license for r in licenses.scan(table([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, lang string")).collect()}
+    assert got == {i: name for i, _, name in rows}
+
+
 def test_licenses(table):
     mit = licenses.KNOWN["MIT"]
     rows = [
