@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwright.llm import idfiles, licenses, linedup, neardup, onebit, packing, rules, sentpiece, sitequality, toxicity
+from panelwright.llm import hardneg, idfiles, licenses, linedup, neardup, onebit, packing, rules, sentpiece, sitequality, toxicity
 
 #: Folder-independent names of the tokenizer files.
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -60,9 +61,14 @@ def op10_site_quality(spark: SparkSession, folder: str) -> DataFrame:
     return sitequality.score_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_threshold_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.expr("IF(vec_id % 7 = 0, (CAST(label AS BIGINT) + 1) % 10, CAST(label AS BIGINT))")
+    return hardneg.mine(_table(spark, folder, "embeddings"), label=label)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_length_buckets, op2_lsh_forest, op3_merge_dropout, op4_nb_ngrams, op5_divergence, op6_license_digests, op7_id_files, op8_one_bit_codes,
-    op9_line_runs, op10_site_quality,
+    op9_line_runs, op10_site_quality, op11_threshold_negatives,
 )}
 
 
@@ -70,4 +76,5 @@ ORACLE = {
     "op2_lsh_forest": neardup.SQL,
     "op6_license_digests": licenses.sql(),
     "op9_line_runs": linedup.SQL,
+    "op11_threshold_negatives": hardneg.SQL,
 }
