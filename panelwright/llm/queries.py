@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import hardneg, idfiles, licenses, linedup, neardup, onebit, packing, rules, sentpiece, sitequality, toxicity
+from panelwright.llm import hardneg, idfiles, licenses, linedup, neardup, onebit, packing, periodic, rules, sentpiece, sitequality, toxicity
+from panelwright.llm.common import ship
+
+ship(__name__)
 
 #: Folder-independent names of the tokenizer files.
 PIECES, BYTES = "piece_bpe_32k.model", "byte_bpe_50k.json"
@@ -66,9 +71,25 @@ def op11_threshold_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hardneg.mine(_table(spark, folder, "embeddings"), label=label)
 
 
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of every document whose id's checksum ends in 0, with a periodic tail."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    n = len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [*words[:a], *(words[a + (i - a) % p] for i in range(a, n))]
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.report(periodic.collapse(_table(spark, folder, "documents"), edit=repeated_tail, digest=True))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_length_buckets, op2_lsh_forest, op3_merge_dropout, op4_nb_ngrams, op5_divergence, op6_license_digests, op7_id_files, op8_one_bit_codes,
-    op9_line_runs, op10_site_quality, op11_threshold_negatives,
+    op9_line_runs, op10_site_quality, op11_threshold_negatives, op12_periodic_runs,
 )}
 
 
