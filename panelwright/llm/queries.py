@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.llm import hardneg, idfiles, licenses, linedup, neardup, onebit, packing, periodic, rules, sentpiece, sitequality, toxicity
+from panelwright.llm import hardneg, idfiles, licenses, linedup, neardup, onebit, packing, periodic, phrases, rules, sentpiece, sitequality, toxicity
 from panelwright.llm.common import ship
 
 ship(__name__)
@@ -87,9 +87,15 @@ def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.report(periodic.collapse(_table(spark, folder, "documents"), edit=repeated_tail, digest=True))
 
 
+def op13_positional_index(spark: SparkSession, folder: str) -> DataFrame:
+    shards = phrases.index(_table(spark, folder, "documents"))
+    return phrases.report(phrases.search(shards, phrases.windows_of(_table(spark, folder, "benchmark"))))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_length_buckets, op2_lsh_forest, op3_merge_dropout, op4_nb_ngrams, op5_divergence, op6_license_digests, op7_id_files, op8_one_bit_codes,
     op9_line_runs, op10_site_quality, op11_threshold_negatives, op12_periodic_runs,
+    op13_positional_index,
 )}
 
 
@@ -98,4 +104,5 @@ ORACLE = {
     "op6_license_digests": licenses.sql(),
     "op9_line_runs": linedup.SQL,
     "op11_threshold_negatives": hardneg.SQL,
+    "op13_positional_index": phrases.SQL,
 }
