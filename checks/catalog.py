@@ -557,29 +557,52 @@ def flagship(spark, sf):
     return rounded(portfolio.summarise_daily(portfolio.backtest_grid(panel, keys=("Date",)), ["mode", "quantile"]))
 
 
-# ---- learning (no SQL form) -----------------------------------------------------------------------------------
-def _fitted(spark: SparkSession, sf: str):
+# ---- learning -------------------------------------------------------------------------------------------------
+LEAF_L1, LEAF_L2 = 2.0, 1.0
+
+
+@query("leaf_values", O.cte(*O.panel_chain(), "x AS (SELECT CASE WHEN coalesce(D1_RET_5D, 0) <= 0 THEN CASE WHEN coalesce(D1_CLOSE_VWAP, 0) <= 0 THEN 0 ELSE 1 END ELSE 2 END AS leaf, target::DOUBLE - 0.125 AS g FROM panel WHERE target IS NOT NULL)")
+       + f"SELECT leaf, count(*) AS n, round(sum(g), 2) AS total, round(sign(sum(g)) * greatest(abs(sum(g)) - {LEAF_L1}, 0) / (count(*) + {LEAF_L2}), 5) AS value FROM x GROUP BY leaf")
+def leaf_values(spark, sf):
+    """Leaves of a given shape over the model panel, set anew from the residuals of a given start."""
+    panel = daily_model_panel(spark, sf).filter("target IS NOT NULL")
+    leaf = F.when(F.col("D1_RET_5D") <= 0, F.when(F.col("D1_CLOSE_VWAP") <= 0, 0).otherwise(1)).otherwise(2)
+    found = learn.leaf_values(panel.withColumn("leaf", leaf), "leaf", F.col("target").cast("double") - 0.125, LEAF_L1, LEAF_L2)
+    return rounded(rounded(found, 2, ["total"]), 5, ["value"])
+
+
+def _fitted(spark: SparkSession, sf: str, fits: Sequence[tuple[str, str]]):
+    """(preset, fold, model, history, samples) of each fit; five features, trees of depth 4, patience 4."""
     panel = stage(daily_model_panel(spark, sf))
     roles = stage(roles_of(stage(daily_calendar(spark, sf))))
-    samples = {split: universe.split_samples(panel, roles, "F1", split) for split in C.SPLITS}
-    model, history = learn.train_on_panel(
-        samples["train"], samples["validation"], O.PANEL_FEATURES, "target", "lgb",
-        maxIter=8, maxDepth=4, minInstancesPerNode=64, stepSize=0.1, maxBins=64,
-    )
-    return model, history, samples
+    for preset, fold in fits:
+        samples = {split: universe.split_samples(panel, roles, fold, split) for split in C.SPLITS}
+        model, history = learn.train_on_panel(
+            samples["train"], samples["validation"], O.PANEL_FEATURES, "target", preset, patience=4, block=4,
+            maxIter=32, maxDepth=4, minInstancesPerNode=64, stepSize=0.1, maxBins=64,
+        )
+        yield preset, fold, model, history, samples
 
 
 @query("gbt_scores", None)
 def gbt_scores(spark, sf):
-    model, _, samples = _fitted(spark, sf)
-    scored = learn.predict(model, samples["test"], O.PANEL_FEATURES, "target", "raw_return")
-    return predictions.prediction_table(scored, "lgb", "F1", "target", "raw_return")
+    """Test scores of both folds, each by its own model."""
+    parts = None
+    for preset, fold, model, _, samples in _fitted(spark, sf, [("lgb", "F1"), ("lgb", "F2")]):
+        scored = learn.predict(model, samples["test"], O.PANEL_FEATURES, "target", "raw_return")
+        part = predictions.prediction_table(scored, preset, fold, "target", "raw_return")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 @query("staged_ic_selection", None)
 def staged_ic_selection(spark, sf):
-    model, history, _ = _fitted(spark, sf)
-    return history.withColumn("kept", F.col("round") <= model.getNumTrees)
+    """The validation metrics of all rounds that were grown, and which of them the model keeps, for both presets."""
+    parts = None
+    for preset, _, model, history, _ in _fitted(spark, sf, [("lgb", "F1"), ("xgb", "F1")]):
+        part = history.select(F.lit(preset).alias("model"), "*", (F.col("round") <= model.getNumTrees).alias("kept"))
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 @query("backtest_report", None)
