@@ -37,7 +37,7 @@ from panelwright.session import stage
 ship(__name__)
 
 WINDOW, NEAR = 10, 20
-SHARD_WORDS, BLOCK, ROWS = 2_000_000, 50_000, 512
+SHARD_WORDS, BLOCK, ROWS = 1_000_000, 50_000, 256
 PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
