@@ -171,6 +171,26 @@ def duplicate_keys(spark, sf):
     return contracts.duplicate_keys(ticks)
 
 
+@query("contract_report", """
+WITH a AS (SELECT CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE l_suppkey END AS k, l_shipdate AS d, CASE WHEN l_linenumber <> 6 THEN l_extendedprice END AS v FROM lineitem),
+b AS (SELECT user_id AS k, ts AS d, CASE WHEN event_id % 11 <> 0 THEN value END AS v FROM events),
+c AS (SELECT o_orderkey AS k, o_orderdate AS d, o_totalprice AS v FROM orders),
+g AS (SELECT 'ticks' AS frame, k, d::VARCHAR AS d, count(*) AS n, count(*) - count(v) AS bad FROM a GROUP BY ALL
+  UNION ALL SELECT 'events', k, d::VARCHAR, count(*), count(*) - count(v) FROM b GROUP BY ALL UNION ALL SELECT 'orders', k, d::VARCHAR, count(*), count(*) - count(v) FROM c GROUP BY ALL)
+SELECT frame, 'null_key' AS rule, count(*) AS n_keys, sum(n)::BIGINT AS n_rows FROM g WHERE k IS NULL OR d IS NULL GROUP BY 1
+UNION ALL SELECT frame, 'duplicate_key', count(*), sum(n)::BIGINT FROM g WHERE k IS NOT NULL AND d IS NOT NULL AND n > 1 GROUP BY 1
+UNION ALL SELECT frame, 'non_finite', count(*), sum(bad)::BIGINT FROM g WHERE bad > 0 GROUP BY 1""")
+def contract_report(spark, sf):
+    ticks = A.table(spark, sf, "lineitem").select(
+        F.when(F.col("l_suppkey") % 7 != 0, F.col("l_suppkey")).alias("Code"), F.col("l_shipdate").alias("Date"),
+        F.when(F.col("l_linenumber") != 6, F.col("l_extendedprice")).alias("price"),
+    )
+    events = A.table(spark, sf, "events").select(F.col("user_id").alias("Code"), F.col("ts").alias("Date"), F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("price"))
+    orders = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("Code"), F.col("o_orderdate").alias("Date"), F.col("o_totalprice").alias("price"))
+    frames = {"ticks": ticks, "events": events, "orders": orders}
+    return contracts.contract_report({name: (frame, ("Code", "Date"), ("price",)) for name, frame in frames.items()})
+
+
 # ---- bars -----------------------------------------------------------------------------------------------------
 _BAR = ("open", "high", "low", "close")
 
@@ -521,7 +541,7 @@ def select_top_quantile(spark, sf):
 
 
 def daily_grid(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.backtest_grid(long_scores(score_panel(spark, sf)), outcome="raw_return")
+    return portfolio.backtest_grid(long_scores(stage(score_panel(spark, sf))), outcome="raw_return")
 
 
 @query("portfolio_grid", O.cte(*O.grid_chain()) + """SELECT model, Date, mode, quantile, round(pnl, 6) AS pnl, k::DOUBLE AS notional,

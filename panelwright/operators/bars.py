@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,21 +43,64 @@ def _factor(frame: DataFrame) -> Column:
     return F.coalesce(number(F.col("adj_factor")), F.lit(1.0)) if "adj_factor" in frame.columns else F.lit(1.0)
 
 
+#: A packed order has two whole numbers below 2^63, joined in a decimal of 38 digits.
+HALF = 1 << 63
+
+
+def packed_order(ticks: DataFrame, order: Sequence[str]) -> Column | None:
+    """One fixed-width number that sorts ticks as the columns of *order* do, equal only where all are equal.
+
+    Each column counts as a digit whose base is the column's measured range (one pass over the order
+    columns alone).  Fractions count in hundredths.  None if a column holds NULL, text or finer
+    fractions, or if the ranges do not fit.
+    """
+    kinds = dict(ticks.dtypes)
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    if not all(kinds.get(name) in whole | {"float", "double"} for name in order):
+        return None
+    digits = {n: F.col(n).cast("long") if kinds[n] in whole else F.round(F.col(n).cast("double") * 100).cast("long") for n in order}
+    tests = [F.count_if(F.col(n).isNull()) for n in order]
+    tests += [F.count_if(~F.coalesce(F.abs(F.col(n) * 100 - F.round(F.col(n) * 100)) < 1e-4, F.lit(False))) for n in order if kinds[n] not in whole]
+    odd = sum(tests[1:], tests[0])
+    seen = ticks.agg(odd.alias("odd"), *[f(c).alias(f"{s}{i}") for i, c in enumerate(digits.values()) for s, f in (("low", F.min), ("high", F.max))]).first()
+    if seen["odd"] or seen["low0"] is None:
+        return None
+    halves, base = [F.lit(0).cast("long")], 1
+    for i, digit in enumerate(digits.values()):
+        span = seen[f"high{i}"] - seen[f"low{i}"] + 1
+        if base * span >= HALF:
+            halves, base = [*halves, F.lit(0).cast("long")], 1
+        if len(halves) > 2 or span >= HALF:
+            return None
+        halves[-1] = halves[-1] * F.lit(span).cast("long") + (digit - F.lit(seen[f"low{i}"]).cast("long"))
+        base *= span
+    if len(halves) == 1:
+        return halves[0]
+    return (halves[0].cast("decimal(19,0)") * F.lit(Decimal(HALF)) + halves[1].cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
 def resample_bars(
     ticks: DataFrame, keys: Sequence[str], price: str, order: Sequence[str], sums: dict[str, Column]
 ) -> DataFrame:
     """Ticks or finer bars to OHLC bars plus summed columns.
 
-    The first and last tick are the least and greatest (order, price) struct; all
-    aggregates combine on the map side, so a key with very many ticks never gathers
-    in one task.
+    The first and last tick are found by a packed order, so that all aggregates are of fixed width and
+    combine by hashing before the exchange: a key with very many ticks never gathers in one task, and
+    no tick is sorted.  Where the order cannot be packed, the least and greatest (order, price) struct is
+    taken, which sorts.  Ticks that agree in the whole order must agree in price.
     """
-    tick = F.struct(*order, price)
+    packed = packed_order(ticks, order)
+    if packed is None:
+        tick = F.struct(*order, price)
+        first, last = F.min(tick)[price], F.max(tick)[price]
+    else:
+        ticks = ticks.withColumn("_order", packed)
+        first, last = F.min_by(price, "_order"), F.max_by(price, "_order")
     return ticks.groupBy(*keys).agg(
-        F.min(tick)[price].alias("open"),
+        first.alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
-        F.max(tick)[price].alias("close"),
+        last.alias("close"),
         *[F.sum(column).alias(name) for name, column in sums.items()],
     )
 

@@ -95,12 +95,12 @@ def date_roles(
     signals = _dated(signal_dates)
     placed = signals.join(F.broadcast(years), "year").join(sessions(calendar), "Date", "left")
     latest_first = Window.partitionBy("fold_id", "split").orderBy(F.desc("signal_date"))
-    exit_date = F.coalesce(
-        F.col("exit_date"), F.raise_error(F.lit("signal dates lack calendar endpoints")).cast("int")
-    )
-    return placed.select(
-        "fold_id", "split", F.col("Date").alias("signal_date"), "entry_date", exit_date.alias("exit_date")
-    ).withColumn("purged", F.row_number().over(latest_first) <= purge)
+    placed = placed.select("fold_id", "split", F.col("Date").alias("signal_date"), "entry_date", "exit_date")
+    placed = placed.withColumn("_place", F.row_number().over(latest_first))
+    # Above the window the guard is a filter that needs its rows, so no select prunes it or moves it into the join.
+    ends = F.col("exit_date").isNotNull() & (F.col("_place") >= 1)
+    placed = placed.filter(row_guard(ends, "signal dates lack calendar endpoints"))
+    return placed.withColumn("purged", F.col("_place") <= purge).drop("_place")
 
 
 def date_role_violations(roles: DataFrame, purge: int = PURGE_SIGNAL_DATES) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import formulas as T
 from ..functions.keys import CODE_PREFIXES
 from .bars import early_open_bars, prepare_daily_panel, prepare_minute_panel, slot_bars
 from .calendar import sessions
-from .contracts import require_columns
+from .contracts import require_columns, row_guard, unique_guard
 
 KEYS = ("Code", "Date")
 # The reference-day columns intraday features are measured against.
@@ -48,11 +48,10 @@ def daily_lookbacks(adjusted: DataFrame) -> DataFrame:
         # lag of an incomplete window is NULL; the sum is NULL as soon as one part is.
         return f"CASE WHEN ({' + '.join(parts)}) IS NOT NULL THEN {how}({', '.join(parts)}) END"
 
-    # A repeated (Code, Date) key fails the job in the same pass.
-    repeated = "CAST(raise_error('daily panel contains duplicate (Code, Date) keys') AS DOUBLE)"
     base = adjusted.selectExpr(
         "*",
-        f"CASE WHEN lag(Date, 1) {HISTORY} = Date THEN {repeated} ELSE lag(close_adj, 1) {HISTORY} END AS close_lag1",
+        f"lag(Date, 1) {HISTORY} AS _before",
+        f"lag(close_adj, 1) {HISTORY} AS close_lag1",
         *[f"lag(close_adj, {n}) {HISTORY} AS close_lag{n}" for n in (5, 10, 20, 60)],
         f"lag(vwap_adj, 1) {HISTORY} AS vwap_lag1",
         f"lag(volume_shares, 1) {HISTORY} AS volume_lag1",
@@ -61,6 +60,9 @@ def daily_lookbacks(adjusted: DataFrame) -> DataFrame:
         f"{full('min', low)} AS low_min5",
         f"{full('max', high)} AS high_max5",
     )
+    # A repeated key fails the job in the same pass, whatever columns are asked for.
+    fresh = F.col("_before").isNull() | (F.col("_before") < F.col("Date"))
+    base = base.filter(row_guard(fresh, "daily bars repeat a (Code, Date) key")).drop("_before")
     measures = (("close_sum", "sum"), ("low_min", "least"), ("high_max", "greatest"))
     twenty = base.selectExpr("*", *[f"{combined(how, lags(f'{m}5', 5, 4))} AS {m}20" for m, how in measures])
     return twenty.selectExpr("*", *[f"{combined(how, lags(f'{m}20', 20, 3))} AS {m}60" for m, how in measures])
@@ -80,7 +82,8 @@ def daily_features(adjusted: DataFrame, fields: Sequence[str] | None = None, kee
 
 
 def _reference(daily: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    return daily.selectExpr(*KEYS, *keep, *[f"{source} AS {name}" for name, source in REFERENCE.items()])
+    rows = daily.selectExpr(*KEYS, *keep, *[f"{source} AS {name}" for name, source in REFERENCE.items()])
+    return unique_guard(rows, KEYS, "the reference days repeat a (Code, Date) key")
 
 
 def half_hour_fields(

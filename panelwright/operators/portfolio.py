@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import finite, is_finite
-from .contracts import require_columns, require_empty
+from .contracts import duplicate_keys, require_columns, require_empty, row_guard
 from .groups import GroupProfile, profile_groups, with_group_stats, with_position
 
 # Selection modes and cumulative quantiles, in report order.
@@ -47,9 +47,21 @@ def ranked_panel(
     share one exchange; all quantiles share the same order.
     """
     keys = list(keys)
+    known = F.coalesce(F.col("Code").cast("string"), F.lit("")) != ""
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    panel = panel.filter(row_guard(known, "a score row lacks a key"))
     value = F.col(score).cast("double")
     panel = panel.withColumns({f"_e_{mode}": _eligible(value, mode) for mode in modes})
     profile = profile or profile_groups(panel, keys)
+    twice = f"score rows repeat a key of {[*keys, 'Code']}"
+    if profile.fits_window:
+        # The same exchange as the ranking; one more sort inside the group.
+        before = F.lag("Code").over(Window.partitionBy(*keys).orderBy("Code"))
+        fresh = F.col("_before").isNull() | (F.col("_before") != F.col("Code"))
+        panel = panel.withColumn("_before", before).filter(row_guard(fresh, twice)).drop("_before")
+    else:
+        require_empty(duplicate_keys(panel, [*keys, "Code"]), twice)
     counts = {f"n_{mode}": F.count_if(F.col(f"_e_{mode}")) for mode in modes}
     panel = with_group_stats(panel, keys, counts, profile)
     for mode in modes:
@@ -193,9 +205,29 @@ def summary_columns() -> list[Column]:
     ]
 
 
+#: The daily columns that a summary is made of.
+DAILY_PARTS = ("pnl", "notional", "hit_count", "hit_denominator", "long_count", "position_count", "selected_count")
+
+
+def daily_rows(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Daily rows that can be summarised: one per group and date, every part finite; anything else fails the job."""
+    require_columns(daily, (*by, "Date", *DAILY_PARTS), "daily table")
+    finite_parts = F.lit(True)
+    for part in DAILY_PARTS:
+        finite_parts = finite_parts & is_finite(F.col(part).cast("double"))
+    single = F.count(F.lit(1)).alias("_same")
+    rows = daily.groupBy(*by, "Date").agg(single, *[F.max(part).alias(part) for part in DAILY_PARTS])
+    rows = rows.filter(row_guard(finite_parts, "a part of a daily row is missing or not finite"))
+    return rows.filter(row_guard((F.col("_same") == 1) & F.col("Date").isNotNull(), "a summary takes one row a date")).drop("_same")
+
+
 def summarise_daily(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Summary measures recomputed from daily rows, per group."""
-    return daily.groupBy(*by).agg(*summary_aggregates()).select(*by, *summary_columns())
+    """Summary measures recomputed from daily rows, per group.
+
+    Without groups an empty table fails the job; groups that do not occur give no row.
+    """
+    summed = daily_rows(daily, by).groupBy(*by).agg(*summary_aggregates())
+    return summed.filter(row_guard(F.col("n_days") > 0, "there are no daily rows")).select(*by, *summary_columns())
 
 
 def portfolio_summary(daily: DataFrame, period: str, by: Sequence[str] = ("model", "mode", "quantile")) -> DataFrame:
@@ -215,7 +247,7 @@ def _by_period(daily: DataFrame, by: Sequence[str], aggregates: Sequence[Column]
 
 def period_portfolio_summary(daily: DataFrame, label: str, by: Sequence[str] = ("model", "mode", "quantile")) -> DataFrame:
     """Portfolio summaries of the whole period (named *label*) and of every year, in one pass."""
-    return _by_period(daily, by, summary_aggregates(), label).select("period", *by, *summary_columns())
+    return _by_period(daily_rows(daily, by), by, summary_aggregates(), label).select("period", *by, *summary_columns())
 
 
 def predictive_summary(daily: DataFrame, period: str) -> DataFrame:

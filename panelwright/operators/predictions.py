@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys as K
 from ..functions.safe import finite, is_finite, strict_number
 from ..registry import EIGHT_MODELS
-from .contracts import checked, require_columns, row_guard
+from .contracts import checked, duplicate_keys, require_columns, require_empty, row_guard
 from .groups import GroupProfile, average_rank, average_rank_over, profile_groups, with_group_stats
 
 KEYS = ("Date", "Code")
@@ -19,13 +19,9 @@ KEYS = ("Date", "Code")
 def prediction_keys(frame: DataFrame) -> DataFrame:
     """DATE and code keys; an invalid key fails the job."""
     require_columns(frame, KEYS, "predictions")
-    bad = F.raise_error(F.lit("Date or Code contains missing or invalid values"))
-    return frame.withColumns(
-        {
-            "Date": F.coalesce(K.normalize_datetime(F.col("Date")), bad.cast("date")),
-            "Code": F.coalesce(K.normalize_code(F.col("Code")), bad.cast("string")),
-        }
-    )
+    keyed = frame.withColumns({"Date": K.normalize_datetime(F.col("Date")), "Code": K.normalize_code(F.col("Code"))})
+    known = F.col("Date").isNotNull() & F.col("Code").isNotNull()
+    return keyed.filter(row_guard(known, "Date or Code contains missing or invalid values"))
 
 
 def read_prediction(
@@ -39,9 +35,8 @@ def read_prediction(
         raise ValueError("output column must not replace a key column")
     require_columns(frame, (*KEYS, column), "predictions")
     score = F.col(column).cast("double")
-    return prediction_keys(frame.select(*keep, *KEYS, column)).select(
-        *keep, *KEYS, checked(score, is_finite(score), "prediction scores must all be finite").alias(output)
-    )
+    keyed = prediction_keys(frame.select(*keep, *KEYS, column)).select(*keep, *KEYS, score.alias(output))
+    return keyed.filter(row_guard(is_finite(F.col(output)), "prediction scores must all be finite"))
 
 
 def stack_predictions(
@@ -122,10 +117,21 @@ def model_ranks(
     All models share one exchange by Date.  Centred ranks are multiples of one
     half, so their sums of products are exact.
     """
+    require_columns(panel, (*KEYS, *models), "wide panel")
+    panel = panel.withColumns({model: F.col(model).cast("double") for model in models})
+    usable = F.col("Date").isNotNull() & (F.coalesce(F.col("Code").cast("string"), F.lit("")) != "")
+    panel = panel.filter(row_guard(usable, "a row of the wide panel lacks a key"))
+    all_finite = F.lit(True)
     for model in models:
-        score = F.col(model).cast("double")
-        panel = panel.withColumn(model, checked(score, is_finite(score), "predictions must all be finite"))
+        all_finite = all_finite & is_finite(F.col(model))
+    panel = panel.filter(row_guard(all_finite, "some predictions are missing or not finite"))
     profile = profile or profile_groups(panel, ["Date"])
+    if profile.fits_window:
+        before = F.lag("Code").over(Window.partitionBy("Date").orderBy("Code"))
+        fresh = F.col("_before").isNull() | (F.col("_before") != F.col("Code"))
+        panel = panel.withColumn("_before", before).filter(row_guard(fresh, "the wide panel repeats a key")).drop("_before")
+    else:
+        require_empty(duplicate_keys(panel, KEYS), "the wide panel repeats a key")
     counted = with_group_stats(panel.select(*KEYS, *models), ["Date"], {"_n": F.count(F.lit(1))}, profile)
     if profile.fits_window:
         ranked = counted.withColumns({f"_{model}": average_rank_over(["Date"], F.col(model)) for model in models})

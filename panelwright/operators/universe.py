@@ -12,7 +12,7 @@ from ..functions.safe import finite, is_finite, number
 from ..registry import SEQUENCE_LENGTH
 from ..session import stage
 from .calendar import active_split_dates, sessions
-from .contracts import conflicting_entry_dates, require_columns, require_empty
+from .contracts import conflicting_entry_dates, require_columns, require_empty, row_guard
 from .groups import profile_groups
 from .labels import zscore_by_date
 
@@ -60,8 +60,10 @@ def entry_eligible_universe(
     eligible = K.has_prefix(F.col("Code"), prefixes)
     for flag in FLAGS:
         eligible = eligible & ~F.coalesce(F.col(flag).cast("boolean"), F.lit(True))
-    # One row per trading day on the mapped side.
-    signals = mapping.select(F.col("entry_date").alias("Date"), "signal_date")
+    # One row per trading day on the mapped side; an entry date of two signal dates fails.
+    signals = mapping.groupBy(F.col("entry_date").alias("Date")).agg(F.min("signal_date").alias("signal_date"), F.max("signal_date").alias("_last"))
+    one = F.col("signal_date").eqNullSafe(F.col("_last"))
+    signals = signals.filter(row_guard(one, "an entry date maps to more than one signal date")).drop("_last")
     mapped = panel.join(F.broadcast(signals), "Date", "left")
     unmapped = F.raise_error(F.lit("entry dates must have a preceding session in the trading calendar"))
     date = F.coalesce(F.col("signal_date"), unmapped.cast("int"))

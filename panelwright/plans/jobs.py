@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import registry as R
 from ..operators import calendar as C
 from ..operators import learn
-from ..operators.contracts import require_columns
+from ..operators.contracts import require_columns, staged
 from ..operators.features import project_protocol_features, raw_feature_panel
 from ..operators.labels import build_labels, label_spec
 from ..operators.metrics import daily_predictive_metrics
@@ -58,7 +58,14 @@ def build_features(
     raw = raw_feature_panel(daily_bars, minute_bars, protocol, days)
     if dates is not None:
         raw = raw.filter(F.col("Date").between(*dates))
-    raw = spark.read.parquet(S.write_parquet(raw, raw_output, ["Date"])) if raw_output else stage(raw)
+    # An empty part would leave the panel empty, or without a family of features.
+    parts = {"no stock-day has both daily and half-hour features": F.col("Date").isNotNull()}
+    if R.protocol_key(protocol) == "de":
+        opening = F.coalesce(*[F.col(name) for name in R.EARLY_OPEN_COLUMNS])
+        parts["no stock-day has early-open features"] = opening.isNotNull()
+    raw = staged(raw, some=parts)
+    if raw_output:
+        raw = spark.read.parquet(S.write_parquet(raw, raw_output, ["Date"]))
     selected = project_protocol_features(mad_zscore(raw), protocol)
     return S.write_parquet(selected, output, ["Date"])
 
@@ -174,7 +181,8 @@ def evaluate(long: DataFrame, outcomes: DataFrame, outcome: str = "raw_return",
     scored = aligned.join(ensemble.withColumnRenamed("prediction", "ensemble"), ["Date", "Code"])
     realised = attach_outcomes(scored, outcomes, outcome)
     panel = realised.unpivot(["Date", "Code", outcome], [*models, "ensemble"], "model", "score")
-    portfolios = stage(backtest_grid(panel, "score", outcome, profile=profile))
+    some = {"there is no prediction to evaluate": F.col("Date").isNotNull()}
+    portfolios = staged(backtest_grid(panel, "score", outcome, profile=profile), some=some)
     predictive = stage(daily_predictive_metrics(panel, "score", outcome, profile=profile))
     return {
         "prediction_correlation": average_daily_spearman(aligned, models, profile),
