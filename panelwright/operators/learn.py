@@ -273,12 +273,8 @@ def predict(model: Ensemble, panel: DataFrame, names: Sequence[str], target: str
 
 # ---- rounds ---------------------------------------------------------------------------------------------------
 def round_metrics(staged: DataFrame, target: str = "target") -> DataFrame:
-    """Mean daily metrics per boosting round.
-
-    Tree scores of a standardised target are far from underflow, so the rows of
-    all rounds collapse map-side and never cross the network.
-    """
-    daily = daily_regression_metrics(staged, "prediction", target, ("round", "Date"), rescale=False)
+    """Mean daily metrics per boosting round; the rows of all rounds collapse map-side and never cross the network."""
+    daily = daily_regression_metrics(staged, "prediction", target, ("round", "Date"))
     return daily.groupBy("round").agg(
         F.avg("ic").alias("daily_ic"), F.avg("mse").alias("daily_mse"), F.avg("r2").alias("daily_r2")
     )
