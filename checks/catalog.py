@@ -12,7 +12,7 @@ from panelwright.functions import keys as K
 from panelwright.functions.safe import change
 from panelwright.operators import bars as B
 from panelwright.operators import calendar as C
-from panelwright.operators import contracts, features, labels, learn, metrics, normalize, portfolio, predictions, universe
+from panelwright.operators import contracts, features, labels, learn, metrics, normalize, portfolio, predictions, sequences, universe
 from panelwright.operators.groups import with_group_stats
 from panelwright.plans import adapters as A
 from panelwright.plans import jobs
@@ -442,16 +442,16 @@ def split_samples(spark, sf):
     return parts
 
 
-@query("sequence_windows", O.cte(O.DAILY, O.adjusted("daily"), O.lookback(), O.CALENDAR.format(source="daily"),
+_SEQUENCES = O.cte(O.DAILY, O.adjusted("daily"), O.lookback(), O.CALENDAR.format(source="daily"),
        "f AS (SELECT Code, Date, coalesce(" + O.D1["RET_OC"] + ", 0)::FLOAT AS a, coalesce(" + O.D1["CLOSE_VWAP"] + ", 0)::FLOAT AS b FROM look)", *O.history_chain("f")) + """
 , w AS (SELECT Code, Date, first_value(a) OVER w AS oldest_ret, sum(a::DOUBLE) OVER w AS sum_ret, sum(b::DOUBLE) OVER w AS sum_dev, b AS last_dev FROM f
   WINDOW w AS (PARTITION BY Code ORDER BY Date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
 SELECT Code, Date, 10 AS steps, round(oldest_ret::DOUBLE, 5) AS oldest_ret, round(sum_ret, 5) AS sum_ret, round(sum_dev, 5) AS sum_dev, round(last_dev::DOUBLE, 5) AS last_dev
-FROM w JOIN history USING (Code, Date)""")
-def sequence_windows(spark, sf):
-    names = ["D1_RET_OC", "D1_CLOSE_VWAP"]
-    panel = features.daily_features(adjusted_daily(spark, sf), names).fillna(0.0, names)
-    windows = universe.sequence_windows(panel, names, daily_calendar(spark, sf))
+FROM w JOIN history USING (Code, Date)"""
+
+
+def sequence_report(windows: DataFrame) -> DataFrame:
+    """What the twins of the sequence queries compare."""
 
     def column_sum(index: int) -> Column:
         values = F.transform("sequence", lambda step: step[index].cast("double"))
@@ -464,6 +464,23 @@ def sequence_windows(spark, sf):
     ), 5)
 
 
+SEQUENCE_FIELDS = ["D1_RET_OC", "D1_CLOSE_VWAP"]
+
+
+@query("sequence_windows", _SEQUENCES)
+def sequence_windows(spark, sf):
+    panel = features.daily_features(adjusted_daily(spark, sf), SEQUENCE_FIELDS).fillna(0.0, SEQUENCE_FIELDS)
+    return sequence_report(universe.sequence_windows(panel, SEQUENCE_FIELDS, daily_calendar(spark, sf)))
+
+
+@query("stored_sequences", _SEQUENCES + " WHERE Date % 3 = 1")
+def stored_sequences(spark, sf):
+    """The same windows from a table stored by stock and session, for the marked rows only."""
+    panel = features.daily_features(adjusted_daily(spark, sf), SEQUENCE_FIELDS).fillna(0.0, SEQUENCE_FIELDS)
+    table = sequences.store_sessions(panel, SEQUENCE_FIELDS, daily_calendar(spark, sf))
+    return sequence_report(sequences.stored_sequences(spark, table, F.col("Date") % 3 == 1))
+
+
 # ---- predictions ----------------------------------------------------------------------------------------------
 _MODELS = ", ".join(O.r(m, m) for m in O.MODELS)
 

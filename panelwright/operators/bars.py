@@ -24,6 +24,11 @@ def _spelling(frame: DataFrame, name: str) -> Column:
     return F.col(name.lower())
 
 
+def code_of(bars: DataFrame) -> Column:
+    """The normalised code of a bar."""
+    return K.normalize_code(_spelling(bars, "Code"))
+
+
 def _date(frame: DataFrame) -> Column:
     column = _spelling(frame, "Date")
     return K.integer_date(column) if _is_integer(frame, "Date") else K.normalize_date(column)

@@ -45,19 +45,24 @@ from ..sources import tables as S
 
 def build_features(
     spark: SparkSession, daily: str, minutes: str, output: str, protocol: str = "o2o",
-    calendar: str | None = None, raw_output: str | None = None, dates: tuple[int, int] | None = None,
+    calendar: str | None = None, raw_output: str | None = None, dates: tuple[int, int] | None = None, tree: bool = False,
 ) -> str:
     """Bars to normalised, projected features of every signal date, partitioned by Date.
 
-    *raw_output* is the intermediate raw panel; normalisation reads it back.
-    *dates* limits the signal dates after the look-back windows.
+    *raw_output* also keeps the raw panel.  *dates* limits the signal dates after the look-back windows.
+    With *tree* the minutes lie in ``<YYYYMMDD>/<HHMM>.parquet``.
     """
-    daily_bars = S.read_dated_directory(spark, daily)
-    minute_bars = S.read_minute_sessions(spark, minutes)
+    daily_bars = S.read_daily_bars(spark, daily)
+    minute_bars = S.read_session_tree(spark, minutes) if tree else S.read_minute_sessions(spark, minutes)
     days = S.read_frame(spark, calendar) if calendar else None
     raw = raw_feature_panel(daily_bars, minute_bars, protocol, days)
     if dates is not None:
         raw = raw.filter(F.col("Date").between(*dates))
+    return write_features(raw, output, protocol, raw_output)
+
+
+def write_features(raw: DataFrame, output: str, protocol: str, raw_output: str | None = None, only_own: bool = False) -> str:
+    """Normalise, project and write a raw panel by Date; an empty panel, or one without a family, fails."""
     # An empty part would leave the panel empty, or without a family of features.
     parts = {"no stock-day has both daily and half-hour features": F.col("Date").isNotNull()}
     if R.protocol_key(protocol) == "de":
@@ -65,9 +70,9 @@ def build_features(
         parts["no stock-day has early-open features"] = opening.isNotNull()
     raw = staged(raw, some=parts)
     if raw_output:
-        raw = spark.read.parquet(S.write_parquet(raw, raw_output, ["Date"]))
+        S.write_parquet(raw, raw_output, ["Date"], only_own=only_own)
     selected = project_protocol_features(mad_zscore(raw), protocol)
-    return S.write_parquet(selected, output, ["Date"])
+    return S.write_parquet(selected, output, ["Date"], only_own=only_own)
 
 
 def build_label_table(

@@ -56,6 +56,39 @@ def read_dated_directory(spark: SparkSession, path: str, date_column: str = "Dat
     return _with_stem(spark.read.option("pathGlobFilter", "*.parquet").parquet(path), date_column)
 
 
+def _names(dates: Iterable[int]) -> str:
+    """A path component that matches just these dates."""
+    return "{" + ",".join(f"{int(d):08d}" for d in sorted(set(dates))) + "}"
+
+
+def read_session_tree(spark: SparkSession, root: str, dates: Iterable[int] | None = None) -> DataFrame:
+    """Minute bars in a tree ``<YYYYMMDD>/<HHMM>.parquet``; folder and file name give Date and Minute.
+
+    With *dates* only their folders are listed and read.  Without, a later filter on Date still skips the
+    files of other folders, since the date is a part of the file's path.  Columns that the files hold win.
+    """
+    folders = "[0-9]" * 8 if dates is None else _names(dates)
+    frame = spark.read.parquet(f"{root.rstrip('/')}/{folders}/*.parquet")
+    present = {name.lower() for name in frame.columns}
+    if "date" not in present:
+        frame = frame.withColumn("Date", F.regexp_extract("_metadata.file_path", r"/([0-9]{8})/[^/]*$", 1).cast("int"))
+    return _with_stem(frame, "Minute")
+
+
+def read_sessions_of(spark: SparkSession, directory: str, dates: Iterable[int]) -> DataFrame:
+    """The ``YYYYMMDD.parquet`` files of the given dates; no other file is listed or read."""
+    frame = spark.read.parquet(f"{directory.rstrip('/')}/{_names(dates)}.parquet")
+    present = {name.lower() for name in frame.columns}
+    return frame if "date" in present else frame.withColumn("Date", _file_stem().cast("int"))
+
+
+def read_daily_bars(spark: SparkSession, path: str) -> DataFrame:
+    """Daily bars: delimited text, one Parquet file, or a directory of dated files."""
+    if path.rstrip("/").lower().endswith((".csv", ".tsv", ".txt")):
+        return read_frame(spark, path)
+    return read_dated_directory(spark, path)
+
+
 def read_minute_sessions(spark: SparkSession, path: str) -> DataFrame:
     """Minute bars: one table, or a directory whose file stems give the minute."""
     if path.rstrip("/").lower().endswith((".csv", ".tsv", ".txt")):
@@ -101,13 +134,20 @@ def read_dated_files(spark: SparkSession, directory: str, first: int | None = No
     return frame if "Date" in frame.columns else frame.withColumn("Date", date)
 
 
-def write_parquet(frame: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> str:
-    """Write Parquet; partitioned output is clustered first so each partition gets few files."""
+def write_parquet(
+    frame: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", only_own: bool = False
+) -> str:
+    """Write Parquet; partitioned output is balanced by size first.
+
+    Adaptive execution puts partition values together in tasks until they reach its advisory size and splits
+    a value that is larger: a small date is one file, a very large one several, and neither depends on a
+    number set here.  With *only_own* the other partition values of the table stay.
+    """
     if partition_by:
-        # Spread a partition value over tasks by key, so one very large date is not one task.
-        keys = [name for name in ("Code",) if name in frame.columns and name not in partition_by]
-        frame = frame.repartition(*partition_by, *[F.pmod(F.xxhash64(k), F.lit(16)) for k in keys])
+        frame = frame.hint("rebalance", *partition_by)
     writer = frame.write.mode(mode)
+    if only_own:
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
 
