@@ -1,14 +1,16 @@
 """Toxicity: linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed n-grams it holds (present or not).  Document counts per label,
-over all training rows, give each n-gram the ratio log((c1 / C1) / (c0 / C0)); those that differ
-clearly (|z| >= ``min_z``, at most ``max_features`` by |z|) stay.  A ridge logistic model on the
-ratios, fitted on at most ``max_fit`` training rows (the smallest hashes of their ids), gives the
-score.  Only texts and labels of the training rows are seen by the model.
+A text's features are the hashed n-grams it holds (present or not).  The model is learned from at most
+``max_fit`` labelled training rows (the smallest hashes of their ids), so no other text is moved.  Their document
+counts per label give each n-gram the ratio log((c1 / C1) / (c0 / C0)); n-grams in at least ``min_count`` rows
+whose shares differ clearly (|z| >= ``min_z``) stay, however many they are.  The sample is bounded, so neither test
+changes with the size of the table.  A ridge logistic model on the ratios, fitted on the sparse rows of the
+sample, gives the score.  Only texts and labels of the training rows are seen by the model.
 
 Defined cases: NULL text counts as empty; an empty text gets the score of the intercept; NULL
 labels are no labels; without both labels the score is the smoothed rate; repeated rows score
-alike; an empty table gives an empty table; other columns are ignored.
+alike and rows that agree in id and text are learned once; an empty table gives an empty table; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.llm.common import fit_logistic, fixed_lists, ship, text_bytes, with_columns
+from panelwright.llm.common import fixed_lists, ship, text_bytes, with_columns
+from panelwright.session import stage
 
 ship(__name__)
 
 NGRAMS = (4, 5, 6)
 BUCKETS = 1 << 18
-MIN_Z = 8.0
-MAX_FEATURES = 1500
-MAX_FIT = 15_000
+MIN_Z = 4.0
+MIN_COUNT = 5
+MAX_FIT = 30_000
+TASKS = 4
 RIDGE = 1.0
 
 
@@ -68,7 +72,8 @@ def label_counts(rows: DataFrame, sizes: Sequence[int] = NGRAMS, buckets: int =
         if totals.any():
             yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array(totals[:1]), pa.array(totals[1:])], names=["bucket", "c0", "c1"])
 
-    parts = rows.select("text", F.col("y").cast("int").alias("y")).mapInArrow(run, "bucket long, c0 long, c1 long")
+    # few tasks, since each may hand on as many cells as there are buckets
+    parts = rows.select("text", F.col("y").cast("int").alias("y")).coalesce(TASKS).mapInArrow(run, "bucket long, c0 long, c1 long")
     return parts.groupBy("bucket").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
@@ -84,34 +89,99 @@ def _present(weight_of: np.ndarray, sizes: Sequence[int]):
     return kernel
 
 
+def ratios(c0: np.ndarray, c1: np.ndarray, n0: float, n1: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-count ratio of each n-gram, and the z of the difference of its two shares."""
+    a, b = (c1 + 1) / (n1 + 2), (c0 + 1) / (n0 + 2)
+    both = (c0 + c1 + 2) / (n0 + n1 + 4)
+    spread = np.sqrt(np.maximum(both * (1 - both) * (1 / (n1 + 2) + 1 / (n0 + 2)), 1e-12))
+    return np.log(a / b), (a - b) / spread
+
+
+class Sparse:
+    """Rows of (place, value) pairs; products with vectors in time of their number."""
+
+    def __init__(self, rows: Sequence[np.ndarray], values: np.ndarray):
+        self.shape = len(rows), len(values)
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        self.place = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
+        self.value = values[self.place]
+
+    def times(self, v: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * v[self.place], self.shape[0])
+
+    def turned(self, u: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, self.value * u[self.row], self.shape[1])
+
+
+def fit_sparse(x: Sparse, y: np.ndarray, ridge: float, rounds: int = 40) -> np.ndarray:
+    """Ridge logistic regression by Newton steps, each solved with conjugate gradients; the intercept comes last.
+
+    Without both labels all weights are zero but the intercept, the smoothed log-odds of the label.
+    """
+    n, k = x.shape
+    w = np.zeros(k + 1)
+    w[-1] = np.log((y.sum() + 1.0) / (n - y.sum() + 1.0))
+    if n == 0 or y.min() == y.max():
+        return w
+    penalty = np.r_[np.full(k, ridge), 1e-6]
+    times = lambda v: x.times(v[:-1]) + v[-1]
+    turned = lambda u: np.r_[x.turned(u), u.sum()]
+    loss = lambda z, v: np.logaddexp(0, z).sum() - z @ y + 0.5 * (penalty * v * v).sum()
+    z = times(w)
+    now = loss(z, w)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+        slope = turned(p - y) + penalty * w
+        curve = np.maximum(p * (1 - p), 1e-9)
+        step, rest = np.zeros(k + 1), slope.copy()
+        way, size = rest.copy(), rest @ rest
+        for _ in range(200):
+            if size <= 1e-12 * (slope @ slope):
+                break
+            bent = turned(curve * times(way)) + penalty * way
+            go = size / (way @ bent)
+            step, rest = step + go * way, rest - go * bent
+            size, before = rest @ rest, size
+            way = rest + size / before * way
+        go, change = 1.0, times(step)
+        while go > 1e-4 and loss(z - go * change, w - go * step) > now:
+            go /= 2
+        w, z, before = w - go * step, z - go * change, now
+        now = loss(z, w)
+        if before - now < 1e-7 * max(1.0, abs(now)):
+            break
+    return w
+
+
+def labelled(train: DataFrame, labels: DataFrame, text_col: str, id_col: str, label_col: str, max_fit: int) -> DataFrame:
+    """__id, y, text of at most ``max_fit`` labelled rows, staged; ids are chosen first, so only their texts move."""
+    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1) AND __id IS NOT NULL").distinct()
+    texts = train.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
+    first = F.xxhash64("__id"), F.col("__id"), F.col("y")
+    picked = stage(known.join(texts.select("__id"), "__id", "left_semi").orderBy(*first).limit(max_fit))
+    own = texts.join(F.broadcast(picked), "__id").withColumn("h", F.xxhash64("text"))  # bounded by max_fit
+    few = stage(own.select("__id", "y", "h").distinct().orderBy(*first, "h").limit(max_fit))  # an id may have many texts
+    own = own.join(F.broadcast(few), ["__id", "y", "h"], "left_semi")
+    return stage(own.groupBy("__id", "y", "h").agg(F.first("text").alias("text")).select("__id", "y", "text"))
+
+
 def fit(train: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-        sizes: Sequence[int] = NGRAMS, buckets: int = BUCKETS, min_z: float = MIN_Z, max_features: int = MAX_FEATURES,
+        sizes: Sequence[int] = NGRAMS, buckets: int = BUCKETS, min_z: float = MIN_Z, min_count: int = MIN_COUNT,
         max_fit: int = MAX_FIT, ridge: float = RIDGE) -> dict:
     """The model: selected buckets, their weights (ratio times coefficient) and the intercept."""
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).filter("y IN (0, 1) AND __id IS NOT NULL")
-    texts = train.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text"))
-    counts = label_counts(texts.join(known, "__id"), sizes, buckets).toPandas()  # at most buckets + 1 rows
+    sample = labelled(train, labels, text_col, id_col, label_col, max_fit)
+    counts = label_counts(sample, sizes, buckets).toPandas()  # at most buckets + 1 rows
     total = counts[counts.bucket < 0][["c0", "c1"]].sum()
     counts = counts[counts.bucket >= 0].sort_values("bucket")
     c0, c1 = counts.c0.to_numpy(float), counts.c1.to_numpy(float)
-    a, b = (c1 + 1) / (total.c1 + 2), (c0 + 1) / (total.c0 + 2)
-    ratio = np.log(a / b)
-    both = (c0 + c1 + 2) / (total.c0 + total.c1 + 4)  # z of the difference of two shares
-    z = (a - b) / np.sqrt(np.maximum(both * (1 - both) * (1 / (total.c1 + 2) + 1 / (total.c0 + 2)), 1e-12))
-    order = np.argsort(-np.abs(z), kind="stable")
-    order = order[np.abs(z[order]) >= min_z][:max_features]
-    chosen, ratio = counts.bucket.to_numpy(np.int64)[order], ratio[order]
+    ratio, z = ratios(c0, c1, total.c0, total.c1)
+    clear = (np.abs(z) >= min_z) & (c0 + c1 >= min_count)
+    chosen, ratio = counts.bucket.to_numpy(np.int64)[clear], ratio[clear]
     place = np.full(buckets, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-
-    picked = known.join(texts.select("__id"), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id", "y").limit(max_fit)
-    sample = texts.join(F.broadcast(picked), "__id")  # bounded by max_fit
-    sample = with_columns(sample, "text", _present(place, sizes), [("found", T.ArrayType(T.IntegerType()))], ["__id", "y"])
-    sample = sample.orderBy(F.xxhash64("__id"), "__id").limit(max_fit).toPandas()
-    x = np.zeros((len(sample), len(chosen)), np.float32)
-    for i, found in enumerate(sample.found):
-        x[i, np.asarray(found, np.int64)] = 1.0
-    w = fit_logistic(x * ratio, sample.y.to_numpy(float), ridge) if len(sample) else np.zeros(len(chosen) + 1)
+    found = with_columns(sample, "text", _present(place, sizes), [("found", T.ArrayType(T.IntegerType()))], ["__id", "y"])
+    rows = found.select("y", "found").orderBy(F.xxhash64("__id"), "y").toPandas()  # at most max_fit rows of chosen n-grams
+    w = fit_sparse(Sparse(rows.found.tolist(), ratio), rows.y.to_numpy(float), ridge)
     return {"buckets": buckets, "sizes": tuple(sizes), "chosen": chosen, "weights": w[:-1] * ratio, "intercept": float(w[-1])}
 
 
