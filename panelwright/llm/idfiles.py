@@ -11,11 +11,11 @@ Parquet rows, so any store that Spark writes will do.
 The dictionary is trained on the id arrays of at most ``train_docs`` documents (smallest hashes
 of their ids) and ``TRAIN_BYTES`` bytes; every document is encoded and written.
 
-Words of a text are encoded by the tokenizer once per task and memoised in a table of bounded
-size: a byte-level BPE never merges across the start of a word with one blank before it.  New
-words go through the tokenizer many in a line, which is cut again where an id holds the blank.
-Texts with a blank next to other white space, or with the text of a special token, go through
-the tokenizer whole.
+Words of a text are encoded by the tokenizer once per Python worker and memoised in a table of bounded
+size, which outlives a task: a byte-level BPE never merges across the start of a word with one blank or
+line feed before it.  New words go through the tokenizer many in a line, which is cut again where an id holds the
+blank.  Texts with a blank next to other white space, with three white spaces in a row or two at the end, or with
+the text of a special token, go through the tokenizer whole.
 
 Defined cases: NULL text counts as empty (only the end id); NULL ids sort first; repeated ids
 stand next to each other, ordered by their frames; an empty table gives an empty file set; other
@@ -49,7 +49,9 @@ LEVEL = 3
 MEMO = 600_000
 LINE = 512
 BLANK = "Ġ"  # the byte-level form of the blank
-_ODD = re.compile(r" \s|\s ")
+_OTHER = re.compile(r"[^\S \n]")
+#: White space that is not cut before a single blank or line feed as the tokenizer would cut it.
+_ODD = re.compile(r" \s|\s |\s\s\s|\s\s\Z")
 
 
 class Encoder:
@@ -66,7 +68,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for piece, i in vocabulary.items() if piece.startswith(BLANK)]] = True
-        self.memo: dict[str, bytes] = {}  # ids of a word with one blank before it
+        self.memo: dict[str, bytes] = {}  # ids of a word with one blank before it, or that starts with its line feed
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -88,25 +90,41 @@ class Encoder:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        split: list[list[str]] = []
-        heads: list[str] = []
+        known = memo.get
+        heads, split, ids, open_ = [], [], [], []
         wanted: set[str] = set()
-        for text in texts:
-            if _ODD.search(text) or any(s in text for s in self.special):
+        for i, text in enumerate(texts):
+            words = text.replace("\n", " \n").split(" ")
+            # white space next to white space shows as an empty or bare word, unless it is of another kind
+            if ("" in words or "\n" in words or _OTHER.search(text)) and _ODD.search(text) or any(s in text for s in self.special):
                 words = [text]
-            else:
-                words = text.split(" ")
             heads.append(words[0])
             del words[0]
+            found = list(map(known, words))
+            if None in found:
+                open_.append(i)
+                wanted.update([w for w, x in zip(words, found) if x is None])
             split.append(words)
-            wanted.update(words)
-        new = [w for w in wanted if w not in memo]
+            ids.append(found)
+        new = list(wanted)
         for at in range(0, len(new), 20_000):
-            part = [w for w in new[at : at + 20_000] if w and not w[-1].isspace()]
+            part = [w for w in new[at : at + 20_000] if w and w[0] != "\n" and not w[-1].isspace()]
             memo.update(zip(part, self._words(part)))
         rest = [w for w in new if w not in memo]
-        memo.update(zip(rest, self._encode([" " + w for w in rest])))
-        return [head + b"".join(map(memo.__getitem__, words)) for head, words in zip(self._encode(heads), split)]
+        memo.update(zip(rest, self._encode([w if w[:1] == "\n" else " " + w for w in rest])))
+        for i in open_:
+            ids[i] = list(map(memo.__getitem__, split[i]))
+        return [head + b"".join(found) for head, found in zip(self._encode(heads), ids)]
+
+
+def encoder(path: str) -> Encoder:
+    """The process's encoder of a tokenizer: its words serve all tasks that a Python worker runs."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_encoders_by_path", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
 
 
 def _blocks(batches, size: int = 1024):
@@ -128,7 +146,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, end_id: int, dictionary: byte
     def run(batches):
         import zstandard
 
-        encode, end = Encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         known = _dictionary(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=known) if known else zstandard.ZstdCompressor(level=LEVEL)
         for part in _blocks(batches):
