@@ -7,15 +7,16 @@ value, so executors need numpy and pyarrow but not this package.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20
 #: What the operators call a word: a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -35,12 +36,13 @@ def text_bytes(column: pa.Array) -> list[bytes]:
 
 def with_columns(
     frame: DataFrame, text_col: str, kernel: Callable[[list[bytes]], list], fields: Sequence[tuple[str, T.DataType]],
-    keep: Sequence[str] | None = None,
+    keep: Sequence[str] | None = None, inside: str | None = None,
 ) -> DataFrame:
-    """Append columns that ``kernel`` derives from the UTF-8 bytes of a batch of texts.
+    """Append columns that ``kernel`` derives from the UTF-8 bytes of a block of texts.
 
     All columns of the frame stay (or those in ``keep``); ``kernel`` returns one sequence per
-    field.  Batches stream through, so memory is bounded by one batch.
+    field.  With ``inside`` the texts are that field of the struct column ``text_col``, which is not sent
+    twice.  A kernel sees blocks of at most ``BLOCK_ROWS`` texts, or about ``BLOCK_BYTES``.
     """
     keep = list(frame.columns if keep is None else keep)
     if not set(keep).isdisjoint(name for name, _ in fields):
@@ -50,14 +52,37 @@ def with_columns(
 
     def run(batches):
         for batch in batches:
-            made = kernel(text_bytes(batch.column(batch.schema.get_field_index("__text"))))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in made]
-            yield pa.RecordBatch.from_arrays(columns + arrays, names=batch.schema.names[:-1] + names)
-
+            for part in blocks(batch):
+                if inside is None:
+                    texts, columns = part.column(part.num_columns - 1), part.columns[:-1]
+                else:
+                    texts, columns = part.column(keep.index(text_col)).field(inside), part.columns
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in kernel(text_bytes(texts))]
+                yield pa.RecordBatch.from_arrays(columns + arrays, names=keep + names)
+        pa.default_memory_pool().release_unused()  # the worker lives on
+
+    if inside is not None:
+        return frame.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema)
     return frame.select(*[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").alias("__text")).mapInArrow(run, schema)
 
 
+def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of bounded size (an empty batch is one slice)."""
+    rows = max(1, min(BLOCK_ROWS, batch.num_rows * BLOCK_BYTES // max(1, batch.nbytes)))
+    for at in range(0, max(1, batch.num_rows), rows):
+        yield batch.slice(at, rows)
+
+
+def row_of(frame: DataFrame) -> Column:
+    """The whole row as one struct column ``row``, out of the way of names that an operator adds."""
+    return F.struct(*[F.col(f"`{c}`") for c in frame.columns]).alias("row")
+
+
+def unpacked(names: Sequence[str], **changed: Column) -> list[Column]:
+    """The columns of a packed row again, some of them changed."""
+    return [changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in names]
+
+
 def byte_counts(data: bytes) -> np.ndarray:
     """How often each byte value occurs."""
     return np.bincount(np.frombuffer(data, np.uint8), minlength=256)

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import WORD
+from panelwright.llm.common import WORD, row_of, unpacked
 from panelwright.session import stage
 
 MIN_WORDS = 50
@@ -106,15 +106,23 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``__lines`` (how many), ``__deleted`` (how many) and ``__left`` (the text that stays)."""
-    spans = repeated_runs(docs, id_col, text_col, min_words).groupBy("d", "t").agg(F.collect_list(F.struct("first", "last")).alias("__spans"))
-    text = F.col(text_col).cast("string")
-    rows = docs.join(spans, F.col(id_col).eqNullSafe(F.col("d")) & (_key(text) == F.col("t")), "left").drop("d", "t")
+    if not {"__lines", "__deleted", "__left"}.isdisjoint(docs.columns):
+        raise ValueError("a derived column would repeat a name of the frame")
+    return _deduped(docs, id_col, text_col, min_words).select(*unpacked(docs.columns), "__lines", "__deleted", "__left")
+
+
+def _deduped(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """row (all columns of ``docs``), __lines, __deleted, __left."""
+    spans = repeated_runs(docs, id_col, text_col, min_words).groupBy("d", "t").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    rows = docs.select(row_of(docs), F.col(id_col).alias("own"), _key(F.col(text_col).cast("string")).alias("key"))
+    rows = rows.join(spans, F.col("own").eqNullSafe(F.col("d")) & (F.col("key") == F.col("t")), "left")
+    text = F.col("row").getField(text_col).cast("string")
     lines = F.split(text, "\n")
-    left = F.filter(lines, lambda line, i: ~F.exists(F.col("__spans"), lambda s: (s["first"] <= i) & (s["last"] >= i)))
-    kept = F.when(F.col("__spans").isNull(), text).otherwise(F.array_join(left, "\n"))
-    deleted = F.coalesce(F.aggregate("__spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1), F.lit(0).cast("long"))
+    left = F.filter(lines, lambda line, i: ~F.exists(F.col("spans"), lambda s: (s["first"] <= i) & (s["last"] >= i)))
+    kept = F.when(F.col("spans").isNull(), text).otherwise(F.array_join(left, "\n"))
+    deleted = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1), F.lit(0).cast("long"))
     size = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    return rows.withColumns({"__lines": size, "__deleted": deleted, "__left": kept}).drop("__spans")
+    return rows.select("row", size.alias("__lines"), deleted.alias("__deleted"), kept.alias("__left"))
 
 
 SQL = f"""
@@ -145,5 +153,5 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def keep_first_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` without later copies of runs; rows of which no word stays, though lines were deleted, go."""
-    rows = dedup(docs, id_col, text_col, min_words).filter(~((F.col("__deleted") > 0) & ~F.col("__left").rlike(WORD)))
-    return rows.withColumn(text_col, F.col("__left")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _deduped(docs, id_col, text_col, min_words).filter(~((F.col("__deleted") > 0) & ~F.col("__left").rlike(WORD)))
+    return rows.select(*unpacked(docs.columns, **{text_col: F.col("__left")}))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelwright.llm.common import ship, text_bytes
+from panelwright.llm.common import row_of, ship, text_bytes, unpacked
 from panelwright.session import stage
 
 ship(__name__)
@@ -445,10 +445,22 @@ def item_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their component; of rows that share an id one stays."""
+    """The rows of ``docs`` that stand for their component, all rows without an id among them.
+
+    Rows that share an id and differ in text are documents of their own here; of rows that agree in both one stays.
+    """
+    own = docs.groupBy(F.col(id_col).alias("i")).agg(F.countDistinct(F.xxhash64(text_col)).alias("n")).filter("i IS NOT NULL AND n > 1")
+    if not own.isEmpty():
+        rows = stage(docs.filter(F.col(id_col).isNotNull()).select(row_of(docs)).withColumn("at", F.monotonically_increasing_id()))
+        texts = rows.select("at", F.col("row").getField(text_col).alias("text"))
+        groups = near_duplicates(texts, "at", "text", words, percent).select(F.col("doc_id").alias("at"), "component_id")
+        named = rows.select("at", F.col("row").getField(id_col).alias("i")).join(groups, "at")
+        kept = named.groupBy("component_id").agg(F.min(F.struct("i", "at")).alias("x")).select(F.col("x.at").alias("at"))
+        return rows.join(kept, "at", "left_semi").select(*unpacked(docs.columns)).unionByName(docs.filter(F.col(id_col).isNull()))
     kept = near_duplicates(docs, id_col, text_col, words, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.filter(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return rows.unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(row_of(docs), F.col(id_col).alias("own"))
+    rows = rows.join(kept, F.col("own") == F.col("__kept"), "left_semi").dropDuplicates(["own"])
+    return rows.select(*unpacked(docs.columns)).unionByName(docs.filter(F.col(id_col).isNull()))
 
 
 #: Exact, by an inverted index; for small tables.

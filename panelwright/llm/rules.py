@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.llm.common import byte_counts, fixed_lists, ship, with_columns
+from panelwright.llm.common import byte_counts, fixed_lists, row_of, ship, unpacked, with_columns
 from panelwright.session import stage
 
 ship(__name__)
@@ -119,9 +119,10 @@ def _kernel():
     return kernel
 
 
-def _measured(docs: DataFrame, text_col: str, keep: list[str] | None) -> DataFrame:
+def _measured(docs: DataFrame, text_col: str, keep: list[str], inside: str | None = None) -> DataFrame:
+    """The kept columns and the counts of each text; staged, so that every text is measured once."""
     fields = [(f"__{n}", T.LongType()) for n in BASE] + [("__chars", T.ArrayType(T.LongType())), ("__common", T.ArrayType(T.LongType()))]
-    return with_columns(docs, text_col, _kernel(), fields, keep)
+    return stage(with_columns(docs, text_col, _kernel(), fields, keep, inside))
 
 
 def _base_failed() -> Column:
@@ -170,9 +171,11 @@ def language_references(docs: DataFrame, text_col: str = "text", lang_col: str =
     Only documents that pass the base rule and the longer guard count, each with weight one.
     Means and medians are combined before the shuffle: a language with most rows needs no task of its own.
     """
-    rows = _measured(docs.select(F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__body")), "__body", ["__lang"])
-    rows = rows.filter(~_base_failed() & (F.col("__n_words") >= MIN_COMMON_WORDS))
-    rows = stage(rows.select("__lang", "__n_words", "__chars", "__common"))
+    return _references(_measured(docs.select(F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__body")), "__body", ["__lang"]))
+
+
+def _references(measured: DataFrame) -> DataFrame:
+    rows = measured.filter(~_base_failed() & (F.col("__n_words") >= MIN_COMMON_WORDS))
     rows = rows.select("__lang", "__n_words", _shares("__chars").alias("c"), _shares("__common").alias("w"))
     k, m = len(CLASSES), len(VOCABULARY) + 1
     middle = [F.percentile_approx(F.col("c")[i], 0.5, 1000).alias(f"c{i}") for i in range(k)] + [F.avg(F.col("w")[i]).alias(f"w{i}") for i in range(m)]
@@ -215,9 +218,10 @@ def quality_rules(
     max_char: float = MAX_CHAR_DISTANCE, max_word: float | None = None,
 ) -> DataFrame:
     """Per document: id, base counts, base_failed, both distances (NULL below the guards), kept."""
-    references = language_references(docs, text_col, lang_col) if references is None else references
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).alias("__body"))
-    rows = _judged(_measured(rows, "__body", ["doc_id", "__lang"]), references, F.col("__lang"), max_char, max_word)
+    measured = _measured(rows, "__body", ["doc_id", "__lang"])
+    references = _references(measured) if references is None else references
+    rows = _judged(measured, references, F.col("__lang"), max_char, max_word)
     return rows.select(
         "doc_id", *[F.col(f"__{n}").alias(n) for n in BASE], _base_failed().alias("base_failed"), F.col("__kept").alias("kept"),
         F.col("__char_distance").alias("char_distance"), F.col("__word_distance").alias("word_distance"),
@@ -226,6 +230,8 @@ def quality_rules(
 
 def keep_passing(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_char: float = MAX_CHAR_DISTANCE, max_word: float | None = None) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns."""
-    references = language_references(docs, text_col, lang_col)
-    rows = _judged(_measured(docs, text_col, None), references, F.col(lang_col).cast("string"), max_char, max_word)
-    return rows.filter("__kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    rows = rows.select(row_of(rows), F.col(lang_col).cast("string").alias("__lang"))
+    measured = _measured(rows, "row", ["row", "__lang"], text_col)
+    rows = _judged(measured, _references(measured), F.col("__lang"), max_char, max_word)
+    return rows.filter("__kept").select(*unpacked(docs.columns))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelwright.llm.common import byte_counts, fit_logistic, fixed_lists, ship, with_columns
+from panelwright.llm.common import byte_counts, fit_logistic, fixed_lists, row_of, ship, unpacked, with_columns
 from panelwright.session import stage
 
 ship(__name__)
@@ -64,9 +64,9 @@ def _features():
     return kernel
 
 
-def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def with_features(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, inside: str | None = None) -> DataFrame:
     """``docs`` with ``__features``, an array of doubles in the order of FEATURES."""
-    return with_columns(docs, text_col, _features(), [("__features", T.ArrayType(T.DoubleType()))], keep)
+    return with_columns(docs, text_col, _features(), [("__features", T.ArrayType(T.DoubleType()))], keep, inside)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
@@ -155,8 +155,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of ``docs`` that score at least ``keep_at``, with all their columns."""
     weights = fit(docs, labels, id_col, text_col, max_fit=max_fit)
     names = list(docs.columns)
-    rows = with_features(docs, text_col).withColumn("evidence", _evidence(weights)).drop("__features")
-    rows = rows.select(
-        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(site).cast("string").alias("site"), F.col(path).cast("string").alias("path"), "evidence",
-    ).withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
-    return _combined(rows).filter(F.col("score") >= keep_at).select(*[F.col("row").getField(c).alias(c) for c in names])
+    rows = docs.withColumn(text_col, F.col(f"`{text_col}`").cast("string"))
+    rows = rows.select(row_of(rows), F.col(site).cast("string").alias("site"), F.col(path).cast("string").alias("path"))
+    rows = with_features(rows, "row", ["row", "site", "path"], text_col).withColumn("evidence", _evidence(weights)).drop("__features")
+    # staged, so that texts are measured once for the posteriors and the rows
+    rows = stage(rows.withColumn("p", 1 / (1 + F.exp(-F.col("evidence")))))
+    return _combined(rows).filter(F.col("score") >= keep_at).select(*unpacked(names))

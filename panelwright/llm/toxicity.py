@@ -3,8 +3,8 @@
 A text's features are the hashed n-grams it holds (present or not).  The model is learned from at most
 ``max_fit`` labelled training rows (the smallest hashes of their ids), so no other text is moved.  Their document
 counts per label give each n-gram the ratio log((c1 / C1) / (c0 / C0)); n-grams in at least ``min_count`` rows
-whose shares differ clearly (|z| >= ``min_z``) stay, however many they are.  The sample is bounded, so neither test
-changes with the size of the table.  A ridge logistic model on the ratios, fitted on the sparse rows of the
+whose shares differ much (|ratio| >= ``min_ratio``) and clearly (|z| >= ``min_z``) stay, however many they are.  The
+sample is bounded, so no test changes with the size of the table.  A ridge logistic model on the ratios, fitted on the sparse rows of the
 sample, gives the score.  Only texts and labels of the training rows are seen by the model.
 
 Defined cases: NULL text counts as empty; an empty text gets the score of the intercept; NULL
@@ -32,7 +32,8 @@ NGRAMS = (4, 5, 6)
 BUCKETS = 1 << 18
 MIN_Z = 4.0
 MIN_COUNT = 5
-MAX_FIT = 30_000
+MIN_RATIO = 1.0
+MAX_FIT = 15_000
 TASKS = 4
 RIDGE = 1.0
 
@@ -98,19 +99,31 @@ def ratios(c0: np.ndarray, c1: np.ndarray, n0: float, n1: float) -> tuple[np.nda
 
 
 class Sparse:
-    """Rows of (place, value) pairs; products with vectors in time of their number."""
+    """Rows that hold the places between two ends, each place with its value; four bytes an entry.
 
-    def __init__(self, rows: Sequence[np.ndarray], values: np.ndarray):
-        self.shape = len(rows), len(values)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        self.place = np.concatenate([np.asarray(r, np.int64) for r in rows]) if len(rows) else np.zeros(0, np.int64)
-        self.value = values[self.place]
+    Products with vectors go over blocks of rows, so that what they need beside is small.
+    """
+
+    def __init__(self, places: np.ndarray, ends: np.ndarray, values: np.ndarray, block: int = 500):
+        self.places, self.ends, self.values, self.block = places, ends, values, block
+        self.shape = len(ends) - 1, len(values)
+
+    def _blocks(self):
+        for at in range(0, self.shape[0], self.block):
+            ends = self.ends[at : at + self.block + 1]
+            yield slice(at, at + len(ends) - 1), np.repeat(np.arange(len(ends) - 1), np.diff(ends)), self.places[ends[0] : ends[-1]]
 
     def times(self, v: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, self.value * v[self.place], self.shape[0])
+        v, out = self.values * v, np.zeros(self.shape[0])
+        for rows, row, place in self._blocks():
+            out[rows] = np.bincount(row, v[place], rows.stop - rows.start)
+        return out
 
     def turned(self, u: np.ndarray) -> np.ndarray:
-        return np.bincount(self.place, self.value * u[self.row], self.shape[1])
+        out = np.zeros(self.shape[1])
+        for rows, row, place in self._blocks():
+            out += np.bincount(place, u[rows][row], self.shape[1])
+        return out * self.values
 
 
 def fit_sparse(x: Sparse, y: np.ndarray, ridge: float, rounds: int = 40) -> np.ndarray:
@@ -136,7 +149,7 @@ def fit_sparse(x: Sparse, y: np.ndarray, ridge: float, rounds: int = 40) -> np.n
         step, rest = np.zeros(k + 1), slope.copy()
         way, size = rest.copy(), rest @ rest
         for _ in range(200):
-            if size <= 1e-12 * (slope @ slope):
+            if size <= 1e-6 * (slope @ slope):
                 break
             bent = turned(curve * times(way)) + penalty * way
             go = size / (way @ bent)
@@ -166,7 +179,7 @@ def labelled(train: DataFrame, labels: DataFrame, text_col: str, id_col: str, la
 
 
 def fit(train: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic",
-        sizes: Sequence[int] = NGRAMS, buckets: int = BUCKETS, min_z: float = MIN_Z, min_count: int = MIN_COUNT,
+        sizes: Sequence[int] = NGRAMS, buckets: int = BUCKETS, min_z: float = MIN_Z, min_count: int = MIN_COUNT, min_ratio: float = MIN_RATIO,
         max_fit: int = MAX_FIT, ridge: float = RIDGE) -> dict:
     """The model: selected buckets, their weights (ratio times coefficient) and the intercept."""
     sample = labelled(train, labels, text_col, id_col, label_col, max_fit)
@@ -175,13 +188,15 @@ def fit(train: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     counts = counts[counts.bucket >= 0].sort_values("bucket")
     c0, c1 = counts.c0.to_numpy(float), counts.c1.to_numpy(float)
     ratio, z = ratios(c0, c1, total.c0, total.c1)
-    clear = (np.abs(z) >= min_z) & (c0 + c1 >= min_count)
+    clear = (np.abs(z) >= min_z) & (np.abs(ratio) >= min_ratio) & (c0 + c1 >= min_count)
     chosen, ratio = counts.bucket.to_numpy(np.int64)[clear], ratio[clear]
     place = np.full(buckets, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
     found = with_columns(sample, "text", _present(place, sizes), [("found", T.ArrayType(T.IntegerType()))], ["__id", "y"])
-    rows = found.select("y", "found").orderBy(F.xxhash64("__id"), "y").toPandas()  # at most max_fit rows of chosen n-grams
-    w = fit_sparse(Sparse(rows.found.tolist(), ratio), rows.y.to_numpy(float), ridge)
+    rows = found.select("y", "found").toArrow()  # at most max_fit rows of chosen n-grams
+    y, lists = rows["y"].to_numpy().astype(float), rows["found"].combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    w = fit_sparse(Sparse(lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())], ratio), y, ridge)
     return {"buckets": buckets, "sizes": tuple(sizes), "chosen": chosen, "weights": w[:-1] * ratio, "intercept": float(w[-1])}
 
 

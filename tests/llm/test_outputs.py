@@ -154,6 +154,6 @@ def test_line_runs_odd_rows(table):
     run = "\n".join("line %d of the passage" % i for i in range(30))
     rows = [(1, run, "a"), (1, run, "b"), (2, "head\n" + run + "\ntail", "c"), (3, run, "d"), (None, "x", None)]
     docs = table(rows, "doc_id long, text string, d string")
-    kept = linedup.keep_first_runs(docs.withColumnRenamed("d", "note"))
+    kept = linedup.keep_first_runs(docs)
     assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "x"), (1, run), (1, run), (2, "head\ntail")]
     assert linedup.deletions(docs.limit(0)).count() == 0

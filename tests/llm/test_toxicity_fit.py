@@ -48,7 +48,7 @@ def test_counts_ratios_and_weights(table):
         c0 = sum(1 - y for h, y in held if g in h)
         a, b, both = (c1 + 1) / (n1 + 2), (c0 + 1) / (n0 + 2), (c0 + c1 + 2) / (n0 + n1 + 4)
         z = (a - b) / math.sqrt(both * (1 - both) * (1 / (n1 + 2) + 1 / (n0 + 2)))
-        if abs(z) >= toxicity.MIN_Z and c0 + c1 >= toxicity.MIN_COUNT:
+        if abs(z) >= toxicity.MIN_Z and c0 + c1 >= toxicity.MIN_COUNT and abs(math.log(a / b)) >= toxicity.MIN_RATIO:
             want[g] = math.log(a / b)
     assert sorted(want) == model["chosen"].tolist() and len(want) > 5
     x = np.array([[want[g] if g in h else 0.0 for g in sorted(want)] for h, _ in held])
@@ -66,8 +66,11 @@ def test_sparse_fit_is_the_dense_fit():
     dense = np.zeros((400, 30))
     for i, f in enumerate(found):
         dense[i, f] = values[f]
-    np.testing.assert_allclose(toxicity.fit_sparse(toxicity.Sparse(found, values), y, 1.0), fit_logistic(dense, y, 1.0, 60), atol=1e-4)
-    alone = toxicity.fit_sparse(toxicity.Sparse([np.array([0])] * 3, np.ones(1)), np.zeros(3), 1.0)
+    rows = toxicity.Sparse(np.concatenate(found).astype(np.int32), np.r_[0, np.cumsum([len(f) for f in found])], values, block=7)
+    np.testing.assert_allclose(rows.times(np.arange(30.0)), dense @ np.arange(30.0), atol=1e-9)
+    np.testing.assert_allclose(rows.turned(y), dense.T @ y, atol=1e-9)
+    np.testing.assert_allclose(toxicity.fit_sparse(rows, y, 1.0), fit_logistic(dense, y, 1.0, 60), atol=1e-4)
+    alone = toxicity.fit_sparse(toxicity.Sparse(np.zeros(3, np.int32), np.arange(4), np.ones(1)), np.zeros(3), 1.0)
     assert alone.tolist() == [0.0, math.log(1 / 4)]
 
 
