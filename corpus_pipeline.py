@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelwright.llm import linedup, neardup, packing, rules, sitequality
 from panelwright.session import stage
@@ -20,9 +21,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; n_chars follows the text."""
-    from pyspark.sql import functions as F
-
     rows = linedup.keep_first_runs(docs)
+    if "n_chars" not in docs.columns:
+        return rows
     return rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
