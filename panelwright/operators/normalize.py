@@ -27,6 +27,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # One date's block (rows x columns, 4 bytes each) may use this many cells in a task.
 BLOCK_CELLS = 64_000_000
+#: So many cells are worked on at once: columns go through the kernel in chunks.
+CHUNK_CELLS = 1_000_000
 BINS = 2048
 FEATURE_PREFIXES = ("M30_", "D1_", "EO_")
 
@@ -37,6 +39,23 @@ def feature_columns_of(frame: DataFrame) -> list[str]:
     return [name for name, kind in frame.dtypes if name.startswith(FEATURE_PREFIXES) and kind in numeric]
 
 
+class Columns(Sequence):
+    """The named columns of a table as arrays, made when they are asked for."""
+
+    def __init__(self, table: pa.Table, names: Sequence[str]):
+        self.table, self.names = table, names
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __getitem__(self, place):
+        if isinstance(place, slice):
+            return Columns(self.table, self.names[place])
+        if not -len(self) <= place < len(self):
+            raise IndexError(place)
+        return self.table.column(self.names[place]).to_numpy()
+
+
 def mad_zscore_block(block: np.ndarray, min_valid: int = MIN_VALID) -> np.ndarray:
     """Normalise the columns of one date's FLOAT block; NaN marks missing, output has none.
 
@@ -66,6 +85,24 @@ def mad_zscore_block(block: np.ndarray, min_valid: int = MIN_VALID) -> np.ndarra
     return z.astype(np.float32)
 
 
+def normalised_columns(columns: Sequence[np.ndarray], edges: Sequence[int], min_valid: int = MIN_VALID, cells: int = CHUNK_CELLS) -> Iterator[np.ndarray]:
+    """The columns of whole dates (rows between two edges), normalised; what is worked on beside them has *cells* cells.
+
+    Columns do not depend on each other, so chunks of them give the result of the whole block.
+    """
+    rows = edges[-1]
+    width = max(1, cells // max(1, rows))
+    for start in range(0, len(columns), width):
+        part = columns[start : start + width]
+        block = np.empty((rows, len(part)), dtype=np.float32)
+        for index, values in enumerate(part):
+            block[:, index] = values
+        for first, last in zip(edges, edges[1:]):
+            block[first:last] = mad_zscore_block(block[first:last], min_valid)
+        for index in range(len(part)):
+            yield np.ascontiguousarray(block[:, index])
+
+
 def _block_normalised(frame: DataFrame, columns: Sequence[str], names: Sequence[str], min_valid: int) -> DataFrame:
     """One exchange by Date, then a stream of Arrow batches per partition; a date is a bounded block."""
     columns, names = list(columns), list(names)
@@ -75,15 +112,11 @@ def _block_normalised(frame: DataFrame, columns: Sequence[str], names: Sequence[
     schema = T.StructType(kept + [T.StructField(name, T.FloatType()) for name in names])
 
     def scored(table: pa.Table) -> pa.RecordBatch:
-        block = np.empty((table.num_rows, len(columns)), dtype=np.float32)
-        for index, name in enumerate(columns):
-            block[:, index] = table.column(name).to_numpy()
         dates = table.column("Date").to_numpy()
-        edges = [0, *(np.flatnonzero(dates[1:] != dates[:-1]) + 1), len(dates)]
-        for start, end in zip(edges, edges[1:]):
-            block[start:end] = mad_zscore_block(block[start:end], min_valid)
+        edges = [0, *(np.flatnonzero(dates[1:] != dates[:-1]) + 1).tolist(), len(dates)]
         arrays = [table.column(name).combine_chunks() for name in others]
-        arrays += [pa.array(block[:, index]) for index in range(len(columns))]
+        made = normalised_columns(Columns(table, columns), edges, min_valid)
+        arrays += [pa.array(values) for values in made]
         return pa.Table.from_arrays(arrays, names=others + names).combine_chunks().to_batches()[0]
 
     def normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
