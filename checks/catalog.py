@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,7 +17,7 @@ from panelwright.operators import contracts, features, labels, learn, metrics, n
 from panelwright.operators.groups import with_group_stats
 from panelwright.plans import adapters as A
 from panelwright.plans import jobs
-from panelwright.session import stage
+from panelwright.session import shared_folder, stage
 
 from . import oracle as O
 
@@ -642,6 +643,41 @@ def staged_ic_selection(spark, sf):
     return parts
 
 
+CHAIN_YEARS = (2022, 2023, 2024)
+CHAIN_MODELS = ("lgb", "xgb")
+
+
+def run_chain(spark: SparkSession, sf: str, root: str) -> DataFrame:
+    """All jobs in turn, each on what the ones before wrote under *root*: from bars to the portfolio summary."""
+    minutes = A.short_sessions(spark, sf, CHAIN_YEARS)
+    inputs = {"minutes": minutes, "daily": A.intraday_daily_bars(minutes)}
+    for name, frame in inputs.items():
+        frame.write.parquet(f"{root}/{name}")
+    daily = spark.read.parquet(f"{root}/daily")
+    A.calendar_of(daily).write.parquet(f"{root}/calendar")
+    A.eligibility_of(daily).write.parquet(f"{root}/eligibility")
+    days = C.sessions(spark.read.parquet(f"{root}/calendar"))
+    days.filter("exit_date IS NOT NULL").select("Date").write.parquet(f"{root}/signals")
+    jobs.build_features(spark, f"{root}/daily", f"{root}/minutes", f"{root}/features", "o2o", f"{root}/calendar")
+    jobs.build_label_table(spark, f"{root}/minutes", f"{root}/labels", "o2o", f"{root}/calendar")
+    folds = [C.Fold("F1", *[(year, year) for year in CHAIN_YEARS])]
+    jobs.build_splits(spark, f"{root}/signals", f"{root}/calendar", f"{root}/roles.csv", folds, purge=1)
+    jobs.prepare_panel(spark, f"{root}/features", f"{root}/labels", f"{root}/eligibility", f"{root}/calendar", f"{root}/roles.csv", f"{root}/panel", "o2o", length=3)
+    for preset in CHAIN_MODELS:
+        jobs.train(
+            spark, f"{root}/panel", f"{root}/roles.csv", f"{root}/models", "o2o", "F1", preset, patience=3, block=3,
+            maxIter=9, maxDepth=3, minInstancesPerNode=4, maxBins=16, stepSize=0.2,
+        )
+    jobs.backtest(spark, f"{root}/models/predictions", f"{root}/report", models=CHAIN_MODELS, label="2024")
+    return spark.read.option("header", True).option("inferSchema", True).csv(f"{root}/report/portfolio_summary")
+
+
+@query("whole_chain", None)
+def whole_chain(spark, sf):
+    """Bars, features, labels, splits, panel, two trained models, their scores and the backtest, job by job."""
+    return run_chain(spark, sf, f"{shared_folder(spark).rstrip('/')}/chain-{uuid.uuid4().hex}")
+
+
 @query("backtest_report", None)
 def backtest_report(spark, sf):
     """The whole evaluation job: alignment, ensemble, grid, all periods, nine score columns."""

@@ -45,10 +45,10 @@ def cte(*parts: str) -> str:
 # ---- fixtures -------------------------------------------------------------------------------------------------
 DAILY = """
 dt AS (
-  SELECT lpad(CAST(l_suppkey % 25 AS VARCHAR), 6, '0') AS Code,
+  SELECT lpad(CAST(l_suppkey // 4 % 1000000 AS VARCHAR), 6, '0') AS Code,
          CAST(year(l_shipdate)*10000 + month(l_shipdate)*100 + day(l_shipdate) AS INT) AS Date,
          l_extendedprice / l_quantity AS price, l_quantity, l_extendedprice,
-         row_number() OVER (PARTITION BY l_suppkey % 25, l_shipdate
+         row_number() OVER (PARTITION BY l_suppkey // 4 % 1000000, l_shipdate
            ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) AS rn
   FROM lineitem),
 db AS (
@@ -63,7 +63,7 @@ daily AS (
 
 MINUTES = """
 me AS (
-  SELECT lpad(CAST(user_id % 20 AS VARCHAR), 6, '0') AS Code,
+  SELECT lpad(CAST(user_id // 8 % 1000000 AS VARCHAR), 6, '0') AS Code,
          CAST(year(ts)*10000 + month(ts)*100 + day(ts) AS INT) AS Date,
          CAST(floor((hour(ts)*60 + minute(ts)) * 241 / CAST(1440 AS DOUBLE)) AS INT) AS k,
          value AS price, CAST(100 * (1 + event_id % 10) AS DOUBLE) AS v, event_id FROM events),

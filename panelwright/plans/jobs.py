@@ -108,7 +108,7 @@ def model_panel(
 
 def prepare_panel(
     spark: SparkSession, features: str, labels: str, eligibility: str, calendar: str, splits: str, output: str,
-    protocol: str = "o2o", manifest: str | None = None,
+    protocol: str = "o2o", manifest: str | None = None, length: int = R.SEQUENCE_LENGTH,
 ) -> str:
     """Read the inputs, build the model panel, write it partitioned by Date."""
     names = S.load_feature_manifest(spark, protocol, manifest).columns
@@ -120,6 +120,7 @@ def prepare_panel(
         S.read_date_roles(spark, splits),
         names,
         protocol,
+        length,
     )
     return S.write_parquet(panel, output, ["Date"])
 
