@@ -208,7 +208,7 @@ def minute_returns(minutes: DataFrame, keys: Sequence[str]) -> DataFrame:
             "_open": F.expr(_first("open")).over(group),
         }
     )
-    sums = sums.filter(row_guard(~F.col("_repeated"), "minute panel contains duplicate (Code, Minute) keys"))
+    sums = sums.filter(row_guard(~F.col("_repeated"), "a stock has two bars of one minute"))
     return sums.withColumns(
         {
             "dev_vwap": change(F.col("close"), ratio(F.col("_amount"), F.col("_vol"))),

@@ -28,7 +28,7 @@ class Fold:
     def __post_init__(self) -> None:
         for years in (self.train, self.validation, self.test):
             if years[0] > years[1]:
-                raise ValueError(f"invalid year range: {years}")
+                raise ValueError(f"the first year comes after the last: {years}")
 
 
 # The two registered folds.
@@ -69,7 +69,7 @@ def _dated(dates: DataFrame) -> DataFrame:
 def dates_in_years(dates: DataFrame, first: int, last: int) -> DataFrame:
     """Distinct dates whose year lies in an inclusive range."""
     if first > last:
-        raise ValueError(f"invalid year range: {(first, last)}")
+        raise ValueError(f"the first year comes after the last: {(first, last)}")
     return _dated(dates).filter(F.col("year").between(first, last)).select("Date")
 
 

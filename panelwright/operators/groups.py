@@ -68,13 +68,13 @@ def with_group_stats(
     return lookup(frame, small, keys, profile.fits_lookup)
 
 
-def _split_points(frame: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
+def _split_points(frame: DataFrame, keys: Sequence[str], order: Column, fits: bool) -> DataFrame:
     """Per hot group: ascending split points of the order key, from a hash sample.
 
     The points only balance the work; any points give the same result.
     """
     sizes = frame.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > WINDOW_ROWS)
-    keyed = frame.select(*keys, order.alias("_key")).join(F.broadcast(sizes), list(keys))
+    keyed = lookup(frame.select(*keys, order.alias("_key")), sizes, keys, fits, "inner")
     every = F.greatest(F.lit(1), F.floor(F.col("_n") / SAMPLE_ROWS)).cast("long")
     sample = keyed.filter(F.pmod(F.xxhash64("_key"), every) == 0)
     pieces = F.ceil(2 * F.max("_n") / WINDOW_ROWS) + 1
@@ -105,7 +105,7 @@ def with_position(
         return frame.withColumn(output, F.sum(weight).over(window))
 
     rows = stage(frame.withColumns({"_order": F.struct(*order), "_weight": weight}))
-    points = stage(_split_points(rows, keys, F.col("_order")))
+    points = stage(_split_points(rows, keys, F.col("_order"), profile.fits_lookup))
     # Hot groups only; without a hint, the size of the staged table decides on a broadcast.
     rows = rows.join(points, list(keys), "left")
     below = F.size(F.filter("_points", lambda point: point < F.col("_order")))

@@ -269,7 +269,7 @@ def mad_zscore(
     """
     columns = list(columns) if columns is not None else feature_columns_of(frame)
     if len(set(columns)) != len(columns):
-        raise ValueError("feature columns contain duplicates")
+        raise ValueError("a feature column is named twice")
     if min_valid < 1:
         raise ValueError("min_valid must be positive")
     require_columns(frame, ["Date", *columns], "feature panel")

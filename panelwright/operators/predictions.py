@@ -139,7 +139,7 @@ def model_ranks(
         ranked = counted
         for model in models:
             ranked = average_rank(ranked, ["Date"], model, f"_{model}", profile)
-    enough = checked(F.col("_n"), F.col("_n") >= 2, "each date needs at least two stocks for rank dependence")
+    enough = checked(F.col("_n"), F.col("_n") >= 2, "ranks take two stocks a date")
     ranked = ranked.withColumn("_n", enough)
     return ranked.select(*KEYS, "_n", *[(F.col(f"_{model}") - (F.col("_n") + 1) / 2).alias(model) for model in models])
 
@@ -154,7 +154,7 @@ def average_daily_spearman(
 
     def daily(a: str, b: str):
         spread = F.sqrt(F.col(f"`{a}|{a}`") * F.col(f"`{b}|{b}`"))
-        guarded = checked(spread, spread > 0, "constant cross-sectional model ranks")
+        guarded = checked(spread, spread > 0, "a model scores all stocks of a date alike")
         return F.avg(F.col(f"`{a}|{b}`") / guarded)
 
     means = sums.agg(*[daily(a, b).alias(f"{a}|{b}") for a, b in pairs])
@@ -182,7 +182,7 @@ def rank_zscore_ensemble(
     total = F.lit(0.0)
     for model in models:
         deviation = F.sqrt(F.col(f"_{model}") / (F.col("_n") - 1))
-        guarded = checked(deviation, deviation > 0, "constant cross-sectional model ranks")
+        guarded = checked(deviation, deviation > 0, "a model scores all stocks of a date alike")
         total = total + F.col(model) / guarded
     return scaled.select(*KEYS, (total / len(models)).alias(output))
 

@@ -22,7 +22,7 @@ FLAGS = ("is_st", "is_limit_up_open", "is_limit_down_open")
 
 def normalized_keys(frame: DataFrame) -> DataFrame:
     """Normalise Code and Date; an invalid key fails the job."""
-    bad = F.raise_error(F.lit("panel contains null or invalid keys"))
+    bad = F.raise_error(F.lit("Code or Date of a row cannot be read"))
     return frame.withColumns(
         {
             "Code": F.coalesce(K.normalize_code(F.col("Code")), bad.cast("string")),
