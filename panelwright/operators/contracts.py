@@ -95,13 +95,13 @@ def contract_report(frames: Mapping[str, tuple[DataFrame, Sequence[str], Sequenc
 
 
 def require_unique(frame: DataFrame, keys: Sequence[str] = ("Code", "Date"), name: str = "frame") -> None:
-    require_empty(duplicate_keys(frame, keys), f"{name} repeats a key of {list(keys)}")
+    require_empty(duplicate_keys(frame, keys), f"{name} holds duplicates of {list(keys)}")
 
 
 def require_keys(frame: DataFrame, keys: Sequence[str] = ("Code", "Date"), name: str = "frame") -> None:
     """Keys present, non-null and unique."""
     require_columns(frame, keys, name)
-    require_empty(null_keys(frame, keys), f"{name} has rows without a key")
+    require_empty(null_keys(frame, keys), f"{name} has null keys or keys that cannot be read")
     require_unique(frame, keys, name)
 
 
