@@ -154,7 +154,7 @@ def average_daily_spearman(
 
     def daily(a: str, b: str):
         spread = F.sqrt(F.col(f"`{a}|{a}`") * F.col(f"`{b}|{b}`"))
-        guarded = checked(spread, spread > 0, "a model scores all stocks of a date alike")
+        guarded = checked(spread, spread > 0, "a model is constant on a date")
         return F.avg(F.col(f"`{a}|{b}`") / guarded)
 
     means = sums.agg(*[daily(a, b).alias(f"{a}|{b}") for a, b in pairs])
@@ -182,7 +182,7 @@ def rank_zscore_ensemble(
     total = F.lit(0.0)
     for model in models:
         deviation = F.sqrt(F.col(f"_{model}") / (F.col("_n") - 1))
-        guarded = checked(deviation, deviation > 0, "a model scores all stocks of a date alike")
+        guarded = checked(deviation, deviation > 0, "a model is constant on a date")
         total = total + F.col(model) / guarded
     return scaled.select(*KEYS, (total / len(models)).alias(output))
 
