@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.safe import finite, is_finite
 from .contracts import duplicate_keys, require_columns, require_empty, row_guard
-from .groups import GroupProfile, profile_groups, with_group_stats, with_position
+from .groups import GroupProfile, by_whole_groups, profile_groups, with_group_stats, with_position
 
 # Selection modes and cumulative quantiles, in report order.
 MODES = ("signed", "long_only")
@@ -34,6 +37,17 @@ def _eligible(score: Column, mode: str) -> Column:
     return F.coalesce(is_finite(score) & usable, F.lit(False))
 
 
+def _with_known_keys(panel: DataFrame, keys: Sequence[str]) -> DataFrame:
+    known = F.coalesce(F.col("Code").cast("string"), F.lit("")) != ""
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return panel.filter(row_guard(known, "a score row lacks a key"))
+
+
+def _repeats(keys: Sequence[str]) -> str:
+    return f"score rows repeat a key of {[*keys, 'Code']}"
+
+
 def ranked_panel(
     panel: DataFrame,
     modes: Sequence[str] = MODES,
@@ -47,14 +61,11 @@ def ranked_panel(
     share one exchange; all quantiles share the same order.
     """
     keys = list(keys)
-    known = F.coalesce(F.col("Code").cast("string"), F.lit("")) != ""
-    for key in keys:
-        known = known & F.col(key).isNotNull()
-    panel = panel.filter(row_guard(known, "a score row lacks a key"))
+    panel = _with_known_keys(panel, keys)
     value = F.col(score).cast("double")
     panel = panel.withColumns({f"_e_{mode}": _eligible(value, mode) for mode in modes})
     profile = profile or profile_groups(panel, keys)
-    twice = f"score rows repeat a key of {[*keys, 'Code']}"
+    twice = _repeats(keys)
     if profile.fits_window:
         # The same exchange as the ranking; one more sort inside the group.
         before = F.lag("Code").over(Window.partitionBy(*keys).orderBy("Code"))
@@ -93,27 +104,18 @@ def select_top_quantile(
     return ranked.select(*panel.columns, position.alias("position"))
 
 
-def backtest_grid(
-    panel: DataFrame,
-    score: str = "score",
-    outcome: str = "return",
-    modes: Sequence[str] = MODES,
-    quantiles: Sequence[float] = QUANTILES,
-    keys: Sequence[str] = ("model", "Date"),
-    profile: GroupProfile | None = None,
-) -> DataFrame:
-    """Daily statistics of every (group, mode, quantile), dates without a selection included.
+#: What is counted of the selected rows of a group.
+PARTS = ("pnl", "selected", "hits", "moves", "longs", "observed")
 
-    One ranking and one conditional aggregate serve the whole grid; rows are never
-    multiplied by modes or quantiles.
-    """
-    keys, modes = list(keys), [canonical_mode(mode) for mode in modes]
-    quantiles = [canonical_quantile(quantile) for quantile in quantiles]
-    require_columns(panel, (*keys, "Code", score, outcome), "backtest panel")
-    ranked = ranked_panel(panel.select(*keys, "Code", score, outcome), modes, keys, score, profile)
+
+def _grid_by_aggregates(
+    panel: DataFrame, score: str, outcome: str, modes: Sequence[str], quantiles: Sequence[float], keys: Sequence[str], profile: GroupProfile
+) -> DataFrame:
+    """``<mode>_<index>_<part>`` of every group, for groups of any size."""
+    ranked = ranked_panel(panel, modes, keys, score, profile)
     value, realised = F.col(score).cast("double"), finite(F.col(outcome).cast("double"))
     ranked = ranked.withColumns({"_r": realised, "_sign": F.signum(value)})
-    aggregates, cells = [], []
+    aggregates = []
     for mode in modes:
         position = F.col("_sign") if mode == "signed" else F.lit(1.0)
         gain = position * F.col("_r")
@@ -127,14 +129,73 @@ def backtest_grid(
                 F.count_if(chosen & (position > 0)).alias(f"{tag}_longs"),
                 F.count_if(chosen & F.col("_r").isNotNull()).alias(f"{tag}_observed"),
             ]
-            parts = ("pnl", "selected", "hits", "moves", "longs", "observed")
-            cells.append(
-                F.struct(
-                    F.lit(mode).alias("mode"), F.lit(quantile).alias("quantile"),
-                    *[F.col(f"{tag}_{part}").alias(part) for part in parts],
-                )
-            )
-    daily = ranked.groupBy(*keys).agg(*aggregates)
+    return ranked.groupBy(*keys).agg(*aggregates)
+
+
+def _grid_of_group(modes: Sequence[str], quantiles: Sequence[float]) -> Callable[[np.ndarray, np.ndarray], list]:
+    """The grid of one group out of scores and returns in the order of Code (missing: NaN)."""
+
+    def grid(score: np.ndarray, realised: np.ndarray) -> list:
+        usable = np.flatnonzero(np.isfinite(score) & (score != 0))
+        # Stable, so equal strengths stay in the order of Code.
+        order = usable[np.argsort(-np.abs(score[usable]), kind="stable")]
+        found = []
+        for mode in modes:
+            rows = order if mode == "signed" else order[score[order] > 0]
+            r, sign = realised[rows], np.sign(score[rows])
+            seen = ~np.isnan(r)
+            gain = np.where(seen, sign * r, 0.0)
+            counts = [gain > 0, seen & (r != 0), sign > 0, seen]
+            # Row k of a running total is what the first k rows hold.
+            running = [np.concatenate(([0], np.cumsum(part))) for part in (gain, *counts)]
+            for quantile in quantiles:
+                k = math.ceil(quantile * len(rows))
+                pnl, *numbers = (total[k] for total in running)
+                found += [float(pnl), k, *map(int, numbers)]
+        return found
+
+    return grid
+
+
+def _grid_by_blocks(
+    panel: DataFrame, score: str, outcome: str, modes: Sequence[str], quantiles: Sequence[float], keys: Sequence[str]
+) -> DataFrame:
+    """The same by one exchange and one sort; every group, which is small, meets in one NumPy block."""
+    panel = _with_known_keys(panel, keys)
+    rows = panel.select(
+        *keys, "Code", F.col(score).cast("double").alias("_score"), finite(F.col(outcome).cast("double")).alias("_realised")
+    )
+    names = [(f"{mode}_{index}_{part}", T.DoubleType() if part == "pnl" else T.LongType()) for mode in modes for index in range(len(quantiles)) for part in PARTS]
+    return by_whole_groups(rows, keys, ["_score", "_realised"], _grid_of_group(modes, quantiles), names, "Code", _repeats(keys))
+
+
+def backtest_grid(
+    panel: DataFrame,
+    score: str = "score",
+    outcome: str = "return",
+    modes: Sequence[str] = MODES,
+    quantiles: Sequence[float] = QUANTILES,
+    keys: Sequence[str] = ("model", "Date"),
+    profile: GroupProfile | None = None,
+) -> DataFrame:
+    """Daily statistics of every (group, mode, quantile), dates without a selection included.
+
+    One ranking serves the whole grid; rows are never multiplied by modes or quantiles.  Small groups are
+    ranked and added up in NumPy blocks, larger ones by windows and conditional aggregates.
+    """
+    keys, modes = list(keys), [canonical_mode(mode) for mode in modes]
+    quantiles = [canonical_quantile(quantile) for quantile in quantiles]
+    require_columns(panel, (*keys, "Code", score, outcome), "backtest panel")
+    panel = panel.select(*keys, "Code", score, outcome)
+    profile = profile or profile_groups(panel, keys)
+    if profile.fits_window:
+        daily = _grid_by_blocks(panel, score, outcome, modes, quantiles, keys)
+    else:
+        daily = _grid_by_aggregates(panel, score, outcome, modes, quantiles, keys, profile)
+    cells = [
+        F.struct(F.lit(mode).alias("mode"), F.lit(quantile).alias("quantile"), *[F.col(f"{mode}_{index}_{part}").alias(part) for part in PARTS])
+        for mode in modes for index, quantile in enumerate(quantiles)
+    ]
     daily = daily.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*")
     n = F.col("selected")
 
