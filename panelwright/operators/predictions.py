@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys as K
 from ..functions.safe import finite, is_finite, strict_number
 from ..registry import EIGHT_MODELS
+from ..session import compiled
 from .contracts import checked, duplicate_keys, require_columns, require_empty, row_guard
 from .groups import GroupProfile, average_rank, average_rank_over, profile_groups, with_group_stats
 
@@ -19,7 +20,13 @@ KEYS = ("Date", "Code")
 def prediction_keys(frame: DataFrame) -> DataFrame:
     """DATE and code keys; an invalid key fails the job."""
     require_columns(frame, KEYS, "predictions")
-    keyed = frame.withColumns({"Date": K.normalize_datetime(F.col("Date")), "Code": K.normalize_code(F.col("Code"))})
+    kind = dict(frame.dtypes)["Date"]
+    day = F.col("Date")
+    if kind in ("int", "bigint"):
+        day = K.integer_datetime(day)
+    elif kind != "date":
+        day = K.normalize_datetime(day)
+    keyed = compiled(frame).withColumns({"Date": day, "Code": K.normalize_code(F.col("Code"))})
     known = F.col("Date").isNotNull() & F.col("Code").isNotNull()
     return keyed.filter(row_guard(known, "Date or Code contains missing or invalid values"))
 
