@@ -158,15 +158,19 @@ def _grid_of_group(modes: Sequence[str], quantiles: Sequence[float]) -> Callable
 
 
 def _grid_by_blocks(
-    panel: DataFrame, score: str, outcome: str, modes: Sequence[str], quantiles: Sequence[float], keys: Sequence[str]
+    panel: DataFrame, score: str, outcome: str, modes: Sequence[str], quantiles: Sequence[float], keys: Sequence[str], models: Sequence[str] | None
 ) -> DataFrame:
     """The same by one exchange and one sort; every group, which is small, meets in one NumPy block."""
     panel = _with_known_keys(panel, keys)
+    scores = [score] if models is None else list(models)
     rows = panel.select(
-        *keys, "Code", F.col(score).cast("double").alias("_score"), finite(F.col(outcome).cast("double")).alias("_realised")
+        *keys, "Code", *[F.col(name).cast("double").alias(name) for name in scores], finite(F.col(outcome).cast("double")).alias("_realised")
     )
     names = [(f"{mode}_{index}_{part}", T.DoubleType() if part == "pnl" else T.LongType()) for mode in modes for index in range(len(quantiles)) for part in PARTS]
-    return by_whole_groups(rows, keys, ["_score", "_realised"], _grid_of_group(modes, quantiles), names, "Code", _repeats(keys))
+    grid, repeated = _grid_of_group(modes, quantiles), _repeats(keys)
+    if models is None:
+        return by_whole_groups(rows, keys, [score, "_realised"], grid, names, "Code", repeated)
+    return by_whole_groups(rows, keys, ["_realised"], grid, names, "Code", repeated, each=("model", scores))
 
 
 def backtest_grid(
@@ -177,33 +181,40 @@ def backtest_grid(
     quantiles: Sequence[float] = QUANTILES,
     keys: Sequence[str] = ("model", "Date"),
     profile: GroupProfile | None = None,
+    models: Sequence[str] | None = None,
 ) -> DataFrame:
     """Daily statistics of every (group, mode, quantile), dates without a selection included.
 
     One ranking serves the whole grid; rows are never multiplied by modes or quantiles.  Small groups are
-    ranked and added up in NumPy blocks, larger ones by windows and conditional aggregates.
+    ranked and added up in NumPy blocks, larger ones by windows and conditional aggregates.  With *models* the panel is
+    wide: each of these columns holds the scores of a model, *keys* and *profile* are those of the wide panel, and
+    one exchange and one sort serve all models.
     """
     keys, modes = list(keys), [canonical_mode(mode) for mode in modes]
     quantiles = [canonical_quantile(quantile) for quantile in quantiles]
-    require_columns(panel, (*keys, "Code", score, outcome), "backtest panel")
-    panel = panel.select(*keys, "Code", score, outcome)
+    scores = [score] if models is None else list(models)
+    require_columns(panel, (*keys, "Code", *scores, outcome), "backtest panel")
+    panel = panel.select(*keys, "Code", *scores, outcome)
     profile = profile or profile_groups(panel, keys)
+    group = keys if models is None else ["model", *keys]
     if profile.fits_window:
-        daily = _grid_by_blocks(panel, score, outcome, modes, quantiles, keys)
+        daily = _grid_by_blocks(panel, score, outcome, modes, quantiles, keys, models)
     else:
+        if models is not None:
+            panel, keys = panel.unpivot([*keys, "Code", outcome], scores, "model", score), group
         daily = _grid_by_aggregates(panel, score, outcome, modes, quantiles, keys, profile)
     cells = [
         F.struct(F.lit(mode).alias("mode"), F.lit(quantile).alias("quantile"), *[F.col(f"{mode}_{index}_{part}").alias(part) for part in PARTS])
         for mode in modes for index, quantile in enumerate(quantiles)
     ]
-    daily = daily.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*")
+    daily = daily.select(*group, F.explode(F.array(*cells)).alias("c")).select(*group, "c.*")
     n = F.col("selected")
 
     def share(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / F.nullif(b, F.lit(0))).otherwise(0.0)
 
     return daily.select(
-        *keys, "mode", "quantile", "pnl",
+        *group, "mode", "quantile", "pnl",
         n.cast("double").alias("notional"),
         share(F.col("pnl"), n).alias("ppd"),
         F.col("hits").alias("hit_count"),

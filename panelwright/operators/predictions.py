@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import keys as K
 from ..functions.safe import finite, is_finite, strict_number
 from ..registry import EIGHT_MODELS
 from ..session import compiled
 from .contracts import checked, duplicate_keys, require_columns, require_empty, row_guard
-from .groups import GroupProfile, average_rank, average_rank_over, profile_groups, with_group_stats
+from .groups import GroupProfile, average_rank, average_ranks, by_whole_groups, profile_groups, with_group_columns, with_group_stats
+
+# Executors need numpy and pyarrow, not this package: what runs in a task travels with the plan.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEYS = ("Date", "Code")
 
@@ -116,14 +123,13 @@ def attach_outcomes(predictions: DataFrame, outcomes: DataFrame, outcome: str =
     return prediction_keys(predictions).join(right, list(KEYS), "left")
 
 
-def model_ranks(
-    panel: DataFrame, models: Sequence[str] = EIGHT_MODELS, profile: GroupProfile | None = None
-) -> DataFrame:
-    """Centred average-tie ranks of every model within each date (wide).
+REPEATED = "the wide panel repeats a key"
+FEW = "ranks take two stocks a date"
+CONSTANT = "a model is constant on a date"
 
-    All models share one exchange by Date.  Centred ranks are multiples of one
-    half, so their sums of products are exact.
-    """
+
+def _rankable(panel: DataFrame, models: Sequence[str]) -> DataFrame:
+    """The wide panel with DOUBLE scores; a missing key or a score that is not finite fails the job."""
     require_columns(panel, (*KEYS, *models), "wide panel")
     panel = panel.withColumns({model: F.col(model).cast("double") for model in models})
     usable = F.col("Date").isNotNull() & (F.coalesce(F.col("Code").cast("string"), F.lit("")) != "")
@@ -131,40 +137,79 @@ def model_ranks(
     all_finite = F.lit(True)
     for model in models:
         all_finite = all_finite & is_finite(F.col(model))
-    panel = panel.filter(row_guard(all_finite, "some predictions are missing or not finite"))
+    return panel.filter(row_guard(all_finite, "some predictions are missing or not finite"))
+
+
+def model_ranks(
+    panel: DataFrame, models: Sequence[str] = EIGHT_MODELS, profile: GroupProfile | None = None
+) -> DataFrame:
+    """Centred average-tie ranks of every model within each date (wide), for dates of any size.
+
+    Centred ranks are multiples of one half, so their sums of products are exact.
+    """
+    panel = _rankable(panel, models)
     profile = profile or profile_groups(panel, ["Date"])
-    if profile.fits_window:
-        before = F.lag("Code").over(Window.partitionBy("Date").orderBy("Code"))
-        fresh = F.col("_before").isNull() | (F.col("_before") != F.col("Code"))
-        panel = panel.withColumn("_before", before).filter(row_guard(fresh, "the wide panel repeats a key")).drop("_before")
-    else:
-        require_empty(duplicate_keys(panel, KEYS), "the wide panel repeats a key")
-    counted = with_group_stats(panel.select(*KEYS, *models), ["Date"], {"_n": F.count(F.lit(1))}, profile)
-    if profile.fits_window:
-        ranked = counted.withColumns({f"_{model}": average_rank_over(["Date"], F.col(model)) for model in models})
-    else:
-        ranked = counted
-        for model in models:
-            ranked = average_rank(ranked, ["Date"], model, f"_{model}", profile)
-    enough = checked(F.col("_n"), F.col("_n") >= 2, "ranks take two stocks a date")
-    ranked = ranked.withColumn("_n", enough)
+    require_empty(duplicate_keys(panel, KEYS), REPEATED)
+    ranked = with_group_stats(panel.select(*KEYS, *models), ["Date"], {"_n": F.count(F.lit(1))}, profile)
+    for model in models:
+        ranked = average_rank(ranked, ["Date"], model, f"_{model}", profile)
+    ranked = ranked.withColumn("_n", checked(F.col("_n"), F.col("_n") >= 2, FEW))
     return ranked.select(*KEYS, "_n", *[(F.col(f"_{model}") - (F.col("_n") + 1) / 2).alias(model) for model in models])
 
 
+def _centred(scores: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Centred average-tie ranks of one date, a row a model, and their sums of squares."""
+    n = len(scores[0])
+    if n < 2:
+        raise ValueError(FEW)
+    ranks = np.stack([average_ranks(column) for column in scores]) - (n + 1) / 2
+    squares = (ranks * ranks).sum(axis=1)
+    if not (squares > 0).all():
+        raise ValueError(CONSTANT)
+    return ranks, squares
+
+
+def _spearman_of_date(pairs: Sequence[tuple[int, int]]):
+    """Rank correlations of the numbered pairs of models on one date."""
+
+    def correlations(*scores: np.ndarray) -> list:
+        ranks, squares = _centred(scores)
+        return [float((ranks[i] * ranks[j]).sum() / np.sqrt(squares[i] * squares[j])) for i, j in pairs]
+
+    return correlations
+
+
+def _ensemble_of_date(*scores: np.ndarray) -> list:
+    """The mean over models of the rank z-scores of one date."""
+    ranks, squares = _centred(scores)
+    return [(ranks / np.sqrt(squares / (ranks.shape[1] - 1))[:, None]).sum(axis=0) / len(scores)]
+
+
 def average_daily_spearman(
     panel: DataFrame, models: Sequence[str] = EIGHT_MODELS, profile: GroupProfile | None = None
 ) -> DataFrame:
-    """Long matrix ``model_a, model_b, correlation``: equal-date mean of daily Spearman."""
-    ranks = model_ranks(panel, models, profile)
+    """Long matrix ``model_a, model_b, correlation``: equal-date mean of daily Spearman.
+
+    Dates that fit a task are ranked in NumPy blocks, after one exchange and one sort for all models.
+    """
+    profile = profile or profile_groups(panel, ["Date"])
     pairs = [(a, b) for i, a in enumerate(models) for b in models[i:]]
-    sums = ranks.groupBy("Date").agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
+    if profile.fits_window:
+        places = {model: i for i, model in enumerate(models)}
+        reduce = _spearman_of_date([(places[a], places[b]) for a, b in pairs])
+        outputs = [(f"{a}|{b}", T.DoubleType()) for a, b in pairs]
+        rows = _rankable(panel, models).select(*KEYS, *models)
+        daily = by_whole_groups(rows, ["Date"], models, reduce, outputs, "Code", REPEATED)
+    else:
+        ranks = model_ranks(panel, models, profile)
+        sums = ranks.groupBy("Date").agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in pairs])
 
-    def daily(a: str, b: str):
-        spread = F.sqrt(F.col(f"`{a}|{a}`") * F.col(f"`{b}|{b}`"))
-        guarded = checked(spread, spread > 0, "a model is constant on a date")
-        return F.avg(F.col(f"`{a}|{b}`") / guarded)
+        def correlation(a: str, b: str) -> Column:
+            spread = F.sqrt(F.col(f"`{a}|{a}`") * F.col(f"`{b}|{b}`"))
+            return F.col(f"`{a}|{b}`") / checked(spread, spread > 0, CONSTANT)
 
-    means = sums.agg(*[daily(a, b).alias(f"{a}|{b}") for a, b in pairs])
+        daily = sums.select("Date", *[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs])
+    means = daily.agg(*[F.avg(f"`{a}|{b}`").alias(f"{a}|{b}") for a, b in pairs])
     cells = []
     for a in models:
         for b in models:
@@ -180,18 +225,31 @@ def rank_zscore_ensemble(
     profile: GroupProfile | None = None,
 ) -> DataFrame:
     """Equal-weight mean over models of the rank z-score within each date."""
+    return with_ensemble(panel, models, output, profile).select(*KEYS, output)
+
+
+def with_ensemble(
+    panel: DataFrame,
+    models: Sequence[str] = EIGHT_MODELS,
+    output: str = "ensemble_score",
+    profile: GroupProfile | None = None,
+) -> DataFrame:
+    """Keys, the scores of the models, and their rank ensemble; small dates are ranked in NumPy blocks."""
     if output in {*KEYS, *models}:
         raise ValueError("output column collides with an input column")
     profile = profile or profile_groups(panel, ["Date"])
+    if profile.fits_window:
+        rows = _rankable(panel, models).select(*KEYS, *models)
+        return with_group_columns(rows, ["Date"], models, _ensemble_of_date, [output], "Code", REPEATED)
     ranks = model_ranks(panel, models, profile)
     squares = {f"_{model}": F.sum(F.col(model) * F.col(model)) for model in models}
     scaled = with_group_stats(ranks, ["Date"], squares, profile)
     total = F.lit(0.0)
     for model in models:
         deviation = F.sqrt(F.col(f"_{model}") / (F.col("_n") - 1))
-        guarded = checked(deviation, deviation > 0, "a model is constant on a date")
-        total = total + F.col(model) / guarded
-    return scaled.select(*KEYS, (total / len(models)).alias(output))
+        total = total + F.col(model) / checked(deviation, deviation > 0, CONSTANT)
+    scaled = scaled.select(*KEYS, (total / len(models)).alias(output))
+    return _rankable(panel, models).select(*KEYS, *models).join(scaled, list(KEYS))
 
 
 def prediction_table(scored: DataFrame, model: str, fold: str, target: str | None = None, raw: str | None = None) -> DataFrame:

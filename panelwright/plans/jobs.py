@@ -26,9 +26,9 @@ from ..operators.predictions import (
     attach_outcomes,
     average_daily_spearman,
     prediction_table,
-    rank_zscore_ensemble,
     read_prediction,
     stack_predictions,
+    with_ensemble,
 )
 from ..operators.universe import (
     complete_history_universe,
@@ -178,18 +178,18 @@ def evaluate(long: DataFrame, outcomes: DataFrame, outcome: str = "raw_return",
              models: Sequence[str] = R.EIGHT_MODELS, label: str = "2024-2025") -> dict[str, DataFrame]:
     """Score panels of all models and their ensemble to the five report tables.
 
-    All models run as one long panel; periods come from grouping sets.  Outcomes
-    meet the wide panel, before it becomes one row per model.
+    All models and the ensemble run as one wide panel, of one row a key; periods come from grouping sets.
     """
     aligned = stage(align_predictions(long, models))
     profile = profile_groups(aligned, ["Date"])
-    ensemble = stage(rank_zscore_ensemble(aligned, models, "prediction", profile))
-    scored = aligned.join(ensemble.withColumnRenamed("prediction", "ensemble"), ["Date", "Code"])
-    realised = attach_outcomes(scored, outcomes, outcome)
-    panel = realised.unpivot(["Date", "Code", outcome], [*models, "ensemble"], "model", "score")
+    scored = stage(with_ensemble(aligned, models, "ensemble", profile))
+    panel = stage(attach_outcomes(scored, outcomes, outcome))
+    scores = [*models, "ensemble"]
     some = {"there is no prediction to evaluate": F.col("Date").isNotNull()}
-    portfolios = staged(backtest_grid(panel, "score", outcome, profile=profile), some=some)
-    predictive = stage(daily_predictive_metrics(panel, "score", outcome, profile=profile))
+    grid = backtest_grid(panel, outcome=outcome, keys=("Date",), profile=profile, models=scores)
+    portfolios = staged(grid, some=some)
+    predictive = stage(daily_predictive_metrics(panel, outcome=outcome, keys=("Date",), profile=profile, models=scores))
+    ensemble = scored.select("Date", "Code", F.col("ensemble").alias("prediction"))
     return {
         "prediction_correlation": average_daily_spearman(aligned, models, profile),
         "ensemble_predictions": ensemble,

@@ -6,6 +6,7 @@ import pytest
 from panelwright.operators import groups as G
 from panelwright.operators import metrics as M
 from panelwright.operators import portfolio as P
+from panelwright.operators import predictions as PR
 
 
 def test_groups_are_whole_across_batches_and_missing_keys():
@@ -33,3 +34,32 @@ def test_grid_of_small_groups_takes_no_window(spark, monkeypatch):
     monkeypatch.undo()
     with pytest.raises(Exception, match="repeat a key"):
         P.backtest_grid(panel.unionByName(panel.limit(1))).collect()
+
+
+def test_models_share_one_exchange_and_rows_stay_wide(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(d, f"{i:03d}", *np.round(rng.normal(size=3), 1).tolist(), None if i % 7 == 0 else float(np.round(rng.normal(), 2))) for d in range(4) for i in range(30 + d)]
+    rng.shuffle(rows)
+    wide = spark.createDataFrame([(int(r[0]), str(r[1]), *[None if v is None else float(v) for v in r[2:]]) for r in rows], "Date int, Code string, a double, b double, c double, return double")
+    models, order = ["a", "b", "c"], ["model", "Date"]
+    long = wide.unpivot(["Date", "Code", "return"], models, "model", "score")
+
+    def everything():
+        return [
+            PR.average_daily_spearman(wide, models), PR.rank_zscore_ensemble(wide, models),
+            P.backtest_grid(wide, keys=("Date",), models=models), M.daily_predictive_metrics(wide, keys=("Date",), models=models),
+        ]
+
+    sorts = [["model_a", "model_b"], ["Date", "Code"], [*order, "mode", "quantile"], order]
+    frames = everything()
+    for frame in frames:
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Expand" not in plan and plan.count("RepartitionByExpression") == 1
+    small = [frame.orderBy(by).toPandas() for frame, by in zip(frames, sorts)]
+    other = [P.backtest_grid(long).orderBy(sorts[2]).toPandas(), M.daily_predictive_metrics(long).orderBy(order).toPandas()]
+    monkeypatch.setattr(G, "WINDOW_ROWS", 10)
+    for left, right in zip([*small, *small[2:]], [*[frame.orderBy(by).toPandas() for frame, by in zip(everything(), sorts)], *other]):
+        pd.testing.assert_frame_equal(left, right[left.columns], check_exact=False, rtol=1e-9)
+    monkeypatch.undo()
+    with pytest.raises(Exception, match="repeats a key"):
+        PR.average_daily_spearman(wide.unionByName(wide.limit(1)), models).collect()
