@@ -84,19 +84,40 @@ def alignment_counts(long: DataFrame, models: Sequence[str] = EIGHT_MODELS) -> D
     )
 
 
-def align_predictions(long: DataFrame, models: Sequence[str] = EIGHT_MODELS) -> DataFrame:
+def unpivot_predictions(wide: DataFrame, models: Sequence[str] = EIGHT_MODELS) -> DataFrame:
+    """Long ``model, Date, Code, score`` of a table with one score column a model; keys are read once a row, not once a score."""
+    require_columns(wide, (*KEYS, *models), "predictions")
+    keyed = prediction_keys(wide.select(*KEYS, *[F.col(model).cast("double").alias(model) for model in models]))
+    long = keyed.unpivot(list(KEYS), list(models), "model", "score")
+    return long.filter(row_guard(is_finite(F.col("score")), "prediction scores must all be finite"))
+
+
+def align_predictions(
+    long: DataFrame, models: Sequence[str] = EIGHT_MODELS, outcomes: DataFrame | None = None, outcome: str = "return"
+) -> DataFrame:
     """Wide ``Date, Code, <models>``: one aggregate pivots and proves equal key sets.
 
-    A key lacking a model, or holding one twice, fails the job; nothing is dropped.
+    A key lacking a model, or holding one twice, fails the job; nothing is dropped.  With *outcomes* the same
+    aggregate adds the realised returns as :func:`attach_outcomes` does, without a join.
     """
-    wide = long.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("_rows"),
+    rows, known = long.select(*KEYS, "model", "score", F.lit(False).alias("_real")), []
+    if outcomes is not None:
+        # An outcome is one more row of its key.
+        realised = _realised(outcomes, outcome)
+        rows = rows.unionByName(realised.select(*KEYS, F.lit(None).cast("string").alias("model"), F.col(outcome).alias("score"), F.lit(True).alias("_real")))
+        known = [F.count_if("_real").alias("_known"), F.max(F.when(F.col("_real"), F.col("score"))).alias("_outcome")]
+    wide = rows.groupBy(*KEYS).agg(
+        F.count_if(~F.col("_real")).alias("_rows"), *known,
         *[F.max(F.when(F.col("model") == model, F.col("score"))).alias(model) for model in models],
     )
+    kept = [*KEYS, *models]
+    if outcomes is not None:
+        wide = wide.filter(row_guard(F.col("_known") <= 1, DUPLICATE_OUTCOMES)).filter("_rows > 0")
+        kept.append(F.col("_outcome").alias(outcome))
     complete = F.col("_rows") == len(models)
     for model in models:
         complete = complete & F.col(model).isNotNull()
-    return wide.filter(row_guard(complete, "some keys do not match: a model lacks them or repeats them")).select(*KEYS, *models)
+    return wide.filter(row_guard(complete, "some keys do not match: a model lacks them or repeats them")).select(*kept)
 
 
 def align_model_predictions(
@@ -108,17 +129,25 @@ def align_model_predictions(
     return align_predictions(stack_predictions(sources, columns, models), models)
 
 
+DUPLICATE_OUTCOMES = "duplicate outcome keys"
+
+
+def _realised(outcomes: DataFrame, outcome: str) -> DataFrame:
+    """Keys and the outcome, NULL where it is not finite."""
+    require_columns(outcomes, (*KEYS, outcome), "outcomes")
+    value = finite(strict_number(F.col(outcome)))
+    return prediction_keys(outcomes.select(*KEYS, outcome)).withColumn(outcome, value)
+
+
 def attach_outcomes(predictions: DataFrame, outcomes: DataFrame, outcome: str = "return") -> DataFrame:
     """Left-join realised returns; every prediction row stays, non-finite outcomes become NULL."""
     if outcome in predictions.columns:
         raise ValueError(f"predictions already contain {outcome!r}")
-    require_columns(outcomes, (*KEYS, outcome), "outcomes")
-    value = finite(strict_number(F.col(outcome)))
-    right = prediction_keys(outcomes.select(*KEYS, outcome)).withColumn(outcome, value)
+    right = _realised(outcomes, outcome)
     # One row per key on the right: a repeated key fails instead of multiplying rows.
     single = F.count(F.lit(1)) == 1
     right = right.groupBy(*KEYS).agg(
-        F.when(single, F.max(outcome)).otherwise(F.raise_error(F.lit("duplicate outcome keys")).cast("double")).alias(outcome)
+        F.when(single, F.max(outcome)).otherwise(F.raise_error(F.lit(DUPLICATE_OUTCOMES)).cast("double")).alias(outcome)
     )
     return prediction_keys(predictions).join(right, list(KEYS), "left")
 
@@ -233,14 +262,15 @@ def with_ensemble(
     models: Sequence[str] = EIGHT_MODELS,
     output: str = "ensemble_score",
     profile: GroupProfile | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Keys, the scores of the models, and their rank ensemble; small dates are ranked in NumPy blocks."""
-    if output in {*KEYS, *models}:
+    """Keys, the scores of the models, the columns to keep, and the rank ensemble; small dates are ranked in NumPy blocks."""
+    if output in {*KEYS, *models, *keep}:
         raise ValueError("output column collides with an input column")
     profile = profile or profile_groups(panel, ["Date"])
     if profile.fits_window:
-        rows = _rankable(panel, models).select(*KEYS, *models)
-        return with_group_columns(rows, ["Date"], models, _ensemble_of_date, [output], "Code", REPEATED)
+        rows = _rankable(panel, models).select(*KEYS, *models, *keep)
+        return with_group_columns(rows, ["Date"], list(models), _ensemble_of_date, [output], "Code", REPEATED)
     ranks = model_ranks(panel, models, profile)
     squares = {f"_{model}": F.sum(F.col(model) * F.col(model)) for model in models}
     scaled = with_group_stats(ranks, ["Date"], squares, profile)
@@ -249,7 +279,7 @@ def with_ensemble(
         deviation = F.sqrt(F.col(f"_{model}") / (F.col("_n") - 1))
         total = total + F.col(model) / checked(deviation, deviation > 0, CONSTANT)
     scaled = scaled.select(*KEYS, (total / len(models)).alias(output))
-    return _rankable(panel, models).select(*KEYS, *models).join(scaled, list(KEYS))
+    return _rankable(panel, models).select(*KEYS, *models, *keep).join(scaled, list(KEYS))
 
 
 def prediction_table(scored: DataFrame, model: str, fold: str, target: str | None = None, raw: str | None = None) -> DataFrame:

@@ -23,7 +23,6 @@ from ..operators.portfolio import backtest_grid, period_portfolio_summary, perio
 from ..operators.groups import profile_groups
 from ..operators.predictions import (
     align_predictions,
-    attach_outcomes,
     average_daily_spearman,
     prediction_table,
     read_prediction,
@@ -178,18 +177,17 @@ def evaluate(long: DataFrame, outcomes: DataFrame, outcome: str = "raw_return",
              models: Sequence[str] = R.EIGHT_MODELS, label: str = "2024-2025") -> dict[str, DataFrame]:
     """Score panels of all models and their ensemble to the five report tables.
 
-    All models and the ensemble run as one wide panel, of one row a key; periods come from grouping sets.
+    All models, the ensemble and the outcomes run as one wide panel, of one row a key; periods come from grouping sets.
     """
-    aligned = stage(align_predictions(long, models))
+    aligned = stage(align_predictions(long, models, outcomes, outcome))
     profile = profile_groups(aligned, ["Date"])
-    scored = stage(with_ensemble(aligned, models, "ensemble", profile))
-    panel = stage(attach_outcomes(scored, outcomes, outcome))
+    panel = stage(with_ensemble(aligned, models, "ensemble", profile, keep=[outcome]))
     scores = [*models, "ensemble"]
     some = {"there is no prediction to evaluate": F.col("Date").isNotNull()}
     grid = backtest_grid(panel, outcome=outcome, keys=("Date",), profile=profile, models=scores)
     portfolios = staged(grid, some=some)
     predictive = stage(daily_predictive_metrics(panel, outcome=outcome, keys=("Date",), profile=profile, models=scores))
-    ensemble = scored.select("Date", "Code", F.col("ensemble").alias("prediction"))
+    ensemble = panel.select("Date", "Code", F.col("ensemble").alias("prediction"))
     return {
         "prediction_correlation": average_daily_spearman(aligned, models, profile),
         "ensemble_predictions": ensemble,

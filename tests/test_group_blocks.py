@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from panelwright.operators import groups as G
 from panelwright.operators import metrics as M
@@ -63,3 +64,20 @@ def test_models_share_one_exchange_and_rows_stay_wide(spark, monkeypatch):
     monkeypatch.undo()
     with pytest.raises(Exception, match="repeats a key"):
         PR.average_daily_spearman(wide.unionByName(wide.limit(1)), models).collect()
+
+
+def test_outcomes_meet_the_predictions_in_one_aggregate(spark):
+    models = ["a", "b"]
+    wide = spark.createDataFrame([(20240102, "1", 1.0, 2.0), (20240102, "2", 3.0, 4.0), (20240103, "1", 5.0, 6.0)], "Date int, Code string, a double, b double")
+    outcomes = spark.createDataFrame([("2024-01-02", "1", 0.5), ("2024-01-03", "1", float("inf")), ("2024-01-04", "9", 0.1)], "Date string, Code string, ret double")
+    long = PR.unpivot_predictions(wide, models)
+    got = PR.align_predictions(long, models, outcomes, "ret")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = PR.attach_outcomes(PR.align_predictions(long, models), outcomes, "ret")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect())) and got.count() == 3
+    with pytest.raises(Exception, match="duplicate outcome keys"):
+        PR.align_predictions(long, models, outcomes.unionByName(outcomes.filter("Code = '9'")), "ret").collect()
+    with pytest.raises(Exception, match="do not match"):
+        PR.align_predictions(long.filter("model = 'a' OR Code <> '000002'"), models, outcomes, "ret").collect()
+    with pytest.raises(Exception, match="finite"):
+        PR.unpivot_predictions(wide.withColumn("b", F.lit(float("nan"))), models).collect()
