@@ -14,11 +14,13 @@ bucket of a tree that still holds several components, every member of another co
 bucket's member with most close candidates.  Hub rounds end when they bring no new link.  The
 rounds so far only join components early; what decides is the last part: in each bucket (equal
 floor prefix) that still holds several components, every pair of nodes of different components is
-compared by ``open_pairs``, in blocks of at most about 2 BLOCK nodes, so that a crowded bucket is
-spread over tasks.  The blocks run with the closest node of each node until no link comes, then
-with all pairs.  Only pairs that a 128-bit sketch (one bit of each MinHash value) and the MinHash
-values themselves (a byte of each) put within six standard deviations of the threshold become
-rows, and each is confirmed on the full sets.
+compared, in cells of at most about 2 BLOCK nodes, so that a crowded bucket is spread over tasks.
+No pair becomes a row there.  First ``close_places`` marks the places of nodes that a 128-bit sketch
+(one bit of each MinHash value) and the MinHash values themselves put within six standard deviations
+of the threshold of another, in the first tree in which the two share a bucket.  Then ``joining_links``
+brings the full sets to the marked places, once a place and cell, confirms every close pair there
+unless links already found in the task join it, and returns the links that join components: at most one
+less than a task has components.
 
 At a similarity of 0.85 a pair shares the floor prefix in one of 16 trees but for a chance of
 2e-7 (0.8: 1e-5).
@@ -48,6 +50,10 @@ DEPTH = 8
 FLOOR = 3
 WIDTH = 1
 BLOCK = 2048
+#: Set members of a block, where the sets travel.
+ITEMS = 1 << 20
+#: Close pairs a task holds before it confirms them.
+HELD = 1 << 18
 SEED = 97
 MASK_BITS = 1 << 22
 BITS = TREES * DEPTH
@@ -84,13 +90,13 @@ def minhash(items: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, s1, s2 (128-bit identity of the set), signature, a byte of each MinHash value and sketch (NULL for empty sets)."""
+    """doc_id, n, s1, s2 (128-bit identity of the set), signature and sketch (NULL for empty sets)."""
     def run(batches):
         import xxhash
 
         a, b = _multipliers()
         for batch in batches:
-            sizes, one, two, signs, lows, sketches = [], [], [], [], [], []
+            sizes, one, two, signs, sketches = [], [], [], [], []
             for text in text_bytes(batch.column(1)):
                 items = shingle_set(text, words)
                 sizes.append(len(items))
@@ -99,20 +105,18 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 two.append(int.from_bytes(mark[8:], "little", signed=True))
                 if not len(items):
                     signs.append(None)
-                    lows.append(None)
                     sketches.append((None, None))
                     continue
                 low = minhash(items, a, b)
                 signs.append((low >> np.uint64(3)).astype(">u2").tobytes())
-                lows.append((low >> np.uint64(24)).astype(np.uint8).tobytes())
                 sketches.append(np.packbits(((low >> np.uint64(20)) & np.uint64(1)).astype(bool)).view("<i8").tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signs, pa.binary()), pa.array(lows, pa.binary()),
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(signs, pa.binary()),
                  pa.array([x for x, _ in sketches], pa.int64()), pa.array([y for _, y in sketches], pa.int64())],
-                names=["doc_id", "n", "s1", "s2", "signature", "low", "b1", "b2"],
+                names=["doc_id", "n", "s1", "s2", "signature", "b1", "b2"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, signature binary, low binary, b1 long, b2 long")
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, signature binary, b1 long, b2 long")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
@@ -269,65 +273,38 @@ def crowded(order: DataFrame) -> DataFrame:
     return rows.join(several, ["tree", "bucket"], "left_semi")
 
 
-def _compared(rows: pa.Table, percent: int, closest: bool) -> pa.RecordBatch:
-    """The pairs of whole cells whose ends lie in different components and look similar enough."""
-    tree, bucket, ca, cb, block, node, n, b1, b2, label = (c.to_numpy() for c in rows.columns[:10])
-    sign = np.frombuffer(b"".join(rows.column(10).to_pylist()), np.uint8).reshape(-1, BITS)
-    size, least, far = len(node), _alike(percent), _far(percent)
-    new = np.ones(size, bool)
-    new[1:] = (tree[1:] != tree[:-1]) | (bucket[1:] != bucket[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])
-    room = np.arange(size) - np.flatnonzero(new)[np.cumsum(new) - 1]  # places of the cell before this one
-    split = ca != cb  # two blocks, each of which has a cell of its own
-    found, y, lag = [np.zeros((0, 3), np.int64)], np.arange(size), 0
-    while True:
-        lag += 1
-        y = y[room[y] >= lag]
-        if not len(y):
-            break
-        x = y - lag
-        keep = (label[x] != label[y]) & (~split[y] | (block[x] != block[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-        i, j = x[keep], y[keep]
-        apart = np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b2[i] ^ b2[j]).view(np.uint64))
-        keep = apart <= far
-        i, j = i[keep], j[keep]
-        same = (sign[i] == sign[j]).sum(1)
-        keep = same >= least
-        found.append(np.column_stack([i[keep], j[keep], same[keep]]))
-    i, j, same = np.concatenate(found).T
-    if closest and len(i):
-        ends, at = np.concatenate([i, j]), np.tile(np.arange(len(i)), 2)
-        by = np.lexsort((-same[at], ends))
-        first = np.ones(len(by), bool)
-        first[1:] = ends[by][1:] != ends[by][:-1]
-        at = np.unique(at[by][first])
-        i, j = i[at], j[at]
-    pairs = np.unique(np.column_stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-
-def open_pairs(places: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, closest: bool = False) -> DataFrame:
-    """All pairs (a < b) of different components in a bucket that look similar enough, or the ``closest`` of each node.
+def _cells(places: DataFrame, labels: DataFrame, items: int | None = None) -> DataFrame:
+    """The places of buckets with several components, each in all its cells: tree, bucket, ca, cb, block, node, n, b1, b2, label.
 
     The nodes of a bucket fall into blocks, those of its largest component into blocks of their
-    own; a cell is a pair of blocks, without those of the largest component with itself.
+    own; a cell is a pair of blocks, without those of the largest component with itself.  With
+    ``items`` a block is kept to about that many set members as well.
     """
     rows = stage(places.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    counts = rows.groupBy("tree", "bucket", "label").count()
-    top = counts.groupBy("tree", "bucket").agg(F.sum("count").alias("size"), F.max(F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    small = F.col("size") <= 2 * BLOCK
+    counts = rows.groupBy("tree", "bucket", "label").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("items"))
+    top = counts.groupBy("tree", "bucket").agg(
+        F.sum("count").alias("count"), F.sum("items").alias("items"), F.max(F.struct("count", "label", "items")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+
+    def blocks(count, size):
+        by_count = F.ceil(count / BLOCK)
+        return (by_count if items is None else F.greatest(by_count, F.ceil(size / items))).cast("long")
+
+    small = blocks(F.col("count"), F.col("items")) <= 2
     # a small bucket is one block
     top = stage(top.select(
-        "tree", "bucket", F.when(~small, F.col("main.label")).alias("main"), F.when(small, 0).otherwise(F.ceil(F.col("main.count") / BLOCK)).cast("long").alias("mains"),
-        F.when(small, 1).otherwise(F.ceil((F.col("size") - F.col("main.count")) / BLOCK)).cast("long").alias("others"),
+        "tree", "bucket", F.when(~small, F.col("main.label")).alias("main"), F.when(small, 0).otherwise(blocks(F.col("main.count"), F.col("main.items"))).cast("long").alias("mains"),
+        F.when(small, 1).otherwise(blocks(F.col("count") - F.col("main.count"), F.col("items") - F.col("main.items"))).cast("long").alias("others"),
     ))
-    signs = nodes.select("node", "low")
     mine = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
     rows = rows.join(top, ["tree", "bucket"]).withColumn("block", F.when(mine, F.col("others") + F.pmod(F.xxhash64("node"), "mains")).otherwise(F.pmod(F.xxhash64("node"), "others")))
     met = F.sequence(F.lit(0).cast("long"), F.when(mine, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))
     cells = F.transform(met, lambda k: F.struct(F.least(k, "block").alias("ca"), F.greatest(k, "block").alias("cb")))
-    rows = rows.join(signs, "node").withColumn("cell", F.explode(cells))
+    return rows.withColumn("cell", F.explode(cells)).select("tree", "bucket", "cell.ca", "cell.cb", "block", "node", "n", "b1", "b2", "label")
+
+
+def _by_cell(rows: DataFrame, kernel, schema: str) -> DataFrame:
+    """What ``kernel`` makes of tables of whole cells."""
     key = ["tree", "bucket", "ca", "cb"]
-    rows = rows.select("tree", "bucket", "cell.ca", "cell.cb", "block", "node", "n", "b1", "b2", "label", "low").repartition(*key).sortWithinPartitions(*key, "node")
 
     def run(batches):
         held = None
@@ -341,12 +318,107 @@ def open_pairs(places: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
                 whole &= now.column(k).to_numpy() == last[k].as_py()
             cut = now.num_rows - int(whole.sum())
             if cut:
-                yield _compared(now.slice(0, cut), percent, closest)
+                yield kernel(now.slice(0, cut))
             held = now.slice(cut)
         if held is not None:
-            yield _compared(held, percent, closest)
+            yield kernel(held)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+
+def _close(rows: pa.Table, percent: int):
+    """Rows i, j of close nodes of different components in a cell, each pair in the first tree in which it shares a bucket."""
+    tree, bucket, ca, cb, block, node, n, b1, b2, label = (c.to_numpy() for c in rows.columns[:10])
+    sign = np.frombuffer(b"".join(rows.column(10).to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)
+    size, least, far = len(node), _alike(percent), _far(percent)
+    new = np.ones(size, bool)
+    new[1:] = (tree[1:] != tree[:-1]) | (bucket[1:] != bucket[:-1]) | (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1])
+    room = np.arange(size) - np.flatnonzero(new)[np.cumsum(new) - 1]  # places of the cell before this one
+    split = ca != cb  # two blocks, each of which has a cell of its own
+    y, lag = np.arange(size), 0
+    while True:
+        lag += 1
+        y = y[room[y] >= lag]
+        if not len(y):
+            return
+        x = y - lag
+        keep = (label[x] != label[y]) & (~split[y] | (block[x] != block[y])) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        i, j = x[keep], y[keep]
+        apart = np.bitwise_count((b1[i] ^ b1[j]).view(np.uint64)).astype(np.int64) + np.bitwise_count((b2[i] ^ b2[j]).view(np.uint64))
+        keep = apart <= far
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        same = sign[i] == sign[j]
+        keep = (same.sum((1, 2)) >= least) & (same[:, :, :FLOOR].all(2).argmax(1) == tree[i])
+        if keep.any():
+            yield i[keep], j[keep]
+
+
+def close_places(places: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The places that hold a node of a close pair of different components."""
+    def marked(rows: pa.Table) -> pa.RecordBatch:
+        near = np.zeros(rows.num_rows, bool)
+        for i, j in _close(rows, percent):
+            near[i] = near[j] = True
+        found = rows.select([0, 1, 5]).filter(pa.array(near)).combine_chunks()
+        return pa.RecordBatch.from_arrays([pa.array(c.to_numpy()) for c in found.columns], names=["tree", "bucket", "node"])
+
+    rows = _cells(places, labels).join(nodes.select("node", "signature"), "node").select("tree", "bucket", "ca", "cb", "block", "node", "n", "b1", "b2", "label", "signature")
+    found = _by_cell(rows, marked, "tree int, bucket long, node long").distinct()
+    return places.join(found, ["tree", "bucket", "node"], "left_semi")
+
+
+def _joined(rows: pa.Table, percent: int) -> pa.RecordBatch:
+    """Links of full sets that join the components met in whole cells: every close pair not joined by them is too far apart."""
+    node, known = rows.column(5).to_numpy(), {}
+    # rows that share an id may differ in text, so a set is told by its members
+    which = np.array([known.setdefault(x, len(known)) for x in rows.column(11).to_pylist()], np.int64)
+    _, codes = np.unique(np.frombuffer(b"".join(known), "<u8"), return_inverse=True)
+    codes, size = codes.astype(np.int32), np.array([len(x) // 8 for x in known], np.int64)
+    ends = np.cumsum(size).tolist()
+    sets = [codes[a:b] for a, b in zip([0, *ends], ends)]
+    mark = np.zeros(int(codes.max()) + 1 if len(codes) else 0, bool)
+    _, kind = np.unique(rows.column(9).to_numpy(), return_inverse=True)
+    head = np.arange(len(kind))  # what stands for each component of the rows
+    links, held, count = [], [], 0
+
+    def confirm():
+        pairs = np.concatenate(held, axis=1)
+        pairs = pairs[:, np.argsort(pairs[0], kind="stable")]
+        starts = np.flatnonzero(np.r_[True, pairs[0, 1:] != pairs[0, :-1]])
+        for a, b in zip(starts, [*starts[1:], pairs.shape[1]]):
+            i, j = pairs[0, a], pairs[1, a:b]
+            j = j[head[kind[j]] != head[kind[i]]]
+            if not len(j):
+                continue
+            others = [sets[k] for k in which[j]]
+            mark[sets[which[i]]] = True
+            shared = np.add.reduceat(mark[np.concatenate(others)], np.cumsum([0] + [len(x) for x in others[:-1]]), dtype=np.int64)
+            mark[sets[which[i]]] = False
+            for k in j[100 * shared >= percent * (size[which[i]] + size[which[j]] - shared)]:
+                one, two = head[kind[i]], head[kind[k]]
+                if one != two:
+                    head[head == two] = one
+                    links.append((min(node[i], node[k]), max(node[i], node[k])))
+
+    for i, j in _close(rows, percent):
+        held.append(np.stack([i, j]))
+        count += len(i)
+        if count >= HELD:
+            confirm()
+            held, count = [], 0
+    if held:
+        confirm()
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+
+def joining_links(places: DataFrame, nodes: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (a < b) that join all components between which the places' buckets hold a link."""
+    rows = _cells(places, labels, ITEMS).join(nodes.select("node", "signature"), "node").join(sets.select("node", "items"), "node")
+    rows = rows.select("tree", "bucket", "ca", "cb", "block", "node", "n", "b1", "b2", "label", "signature", "items")
+    return _by_cell(rows, lambda table: _joined(table, percent), "a long, b long").distinct()
 
 
 def _hub_pairs(places: DataFrame, pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -378,7 +450,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage(signatures(docs, words))
     full = rows.filter("n > 0 AND doc_id IS NOT NULL")
     nodes = stage(full.groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("b1").alias("b1"), F.first("b2").alias("b2"), F.first("low").alias("low")))
+        F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("b1").alias("b1"), F.first("b2").alias("b2")))
     order = stage(forest(nodes))
     pairs = stage(neighbours(order.withColumn("label", F.col("node")), percent))
     places = stage(crowded(order))
@@ -387,18 +459,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(new: DataFrame) -> bool:
         """Confirm the pairs not tried before; whether a link came."""
-        nonlocal labels, sets, tried
+        nonlocal tried
         new = stage(new.select("a", "b") if tried is None else new.select("a", "b").join(tried, ["a", "b"], "left_anti"))
         if new.isEmpty():
             return False
         tried = new if tried is None else tried.unionByName(new)
-        # sets of the candidates only, from their texts
-        sides = new.select(F.col("a").alias("node")).unionAll(new.select(F.col("b").alias("node"))).distinct()
-        missing = stage(sides if sets is None else sides.join(sets, "node", "left_anti"))
+        fetch(new.select(F.col("a").alias("node")).unionAll(new.select(F.col("b").alias("node"))).distinct())
+        return joined(confirmed(new, sets, percent))
+
+    def fetch(wanted: DataFrame) -> None:
+        """The sets of the candidates only, from their texts."""
+        nonlocal sets
+        missing = stage(wanted if sets is None else wanted.join(sets, "node", "left_anti"))
         if not missing.isEmpty():
             more = stage(item_sets(docs, missing, words))
             sets = more if sets is None else sets.unionByName(more)
-        links = stage(confirmed(new, sets, percent))
+
+    def joined(found: DataFrame) -> bool:
+        nonlocal labels
+        links = stage(found)
         if links.isEmpty():
             return False
         labels = components(links, labels)
@@ -409,9 +488,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked(_between(pairs, labels))
     while linked(_hub_pairs(places, pairs, labels, percent)):
         pass
-    while linked(open_pairs(places, nodes, labels, percent, closest=True)):
-        pass
-    linked(open_pairs(places, nodes, labels, percent))
+    near = stage(close_places(places, nodes, labels, percent))
+    if not near.isEmpty():
+        fetch(near.select("node").distinct())
+        joined(joining_links(near, nodes, sets, labels, percent))
     named = nodes.select("s1", "s2", "node")
     named = stage(named.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("component")))
     out = rows.select("doc_id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")

@@ -73,3 +73,26 @@ def test_links_in_a_crowded_bucket(table, monkeypatch, block):
     want = brute(rows, 3, 85)
     assert 20 < len({x[1] for x in want.values()}) < 480  # neither one group nor all apart
     assert got == want
+
+
+def test_pairs_that_miss_the_threshold_become_no_rows(table, monkeypatch):
+    seen, check = [], neardup.confirmed
+
+    def counted(pairs, sets, percent):
+        seen.append(pairs.count())
+        return check(pairs, sets, percent)
+
+    monkeypatch.setattr(neardup, "confirmed", counted)
+    rows = crowd(400, 5, 6)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(table(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 3, 85)
+    assert len({x[1] for x in got.values()}) > 300  # near, and nearly all apart
+    assert sum(seen) <= neardup.TREES * 2 * len(rows)  # of 79,800 pairs
+
+
+def test_shared_ids_with_different_texts(table):
+    one, two = crowd(2, 1, 1)
+    far = " ".join("y%d" % i for i in range(90))
+    rows = [(1, one[1]), (1, far), (2, two[1]), (3, far + " z")]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(table(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
