@@ -75,6 +75,19 @@ def test_printed_tree_is_the_fitted_tree(spark):
     assert [list(tree.leaves).index(n) for n in leaf_of(tree, x)] == rows["leaf"].astype(int).tolist()
 
 
+def test_a_round_derives_its_rows_once(spark):
+    data = learn.feature_vectors(panel(spark), NAMES, "target").withColumn("_margin", learn.F.lit(0.0)).repartition(3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    learn.grow_tree(data.mapInArrow(counted, data.schema), 3, learn.tree_params("lgb", rowFraction=1.0, **SMALL), "target", 7, 1)
+    assert seen.value == 12 * 40
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     data = panel(spark).select("Date", "Code")
     draws = [{(r.Date, r.Code) for r in learn._sampled(data.repartition(n), 0.8, 5, 2).collect()} for n in (1, 7)]
