@@ -11,11 +11,12 @@ Parquet rows, so any store that Spark writes will do.
 The dictionary is trained on the id arrays of at most ``train_docs`` documents (smallest hashes
 of their ids) and ``TRAIN_BYTES`` bytes; every document is encoded and written.
 
-Words of a text are encoded by the tokenizer once per Python worker and memoised in a table of bounded
-size, which outlives a task: a byte-level BPE never merges across the start of a word with one blank or
-line feed before it.  New words go through the tokenizer many in a line, which is cut again where an id holds the
-blank.  Texts with a blank next to other white space, with three white spaces in a row or two at the end, or with
-the text of a special token, go through the tokenizer whole.
+Words of a text are encoded once per Python worker and memoised in two tables of bounded size, which outlive a
+task: a byte-level BPE never merges across the start of a word with one blank or line feed before it.  A full table
+becomes the old one, from which words still in use move on.  New words of letters, digits and ASCII marks are cut here
+by the tokenizer's own pattern, and each piece is merged by the tokenizer's model, so a word and the same word with a
+mark behind it are merged once.  Other words go through the tokenizer.  Texts with a blank next to other white space,
+with three white spaces in a row or two at the end, or with the text of a special token, go through the tokenizer whole.
 
 Defined cases: NULL text counts as empty (only the end id); NULL ids sort first; repeated ids
 stand next to each other, ordered by their frames; an empty table gives an empty file set; other
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import string
 import zlib
 from array import array
 
@@ -46,12 +48,76 @@ TRAIN_DOCS = 2_000
 TRAIN_BYTES = 8 << 20
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-MEMO = 600_000
-LINE = 512
+MEMO = 300_000
 BLANK = "Ġ"  # the byte-level form of the blank
-_OTHER = re.compile(r"[^\S \n]")
+#: The byte-level form of each byte, as a table for ``str.translate``.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in _SHOWN)}
 #: White space that is not cut before a single blank or line feed as the tokenizer would cut it.
 _ODD = re.compile(r" \s|\s |\s\s\s|\s\s\Z")
+_INNER = re.compile(r"[^\S\n]")
+#: Characters whose kind does not depend on the version of Unicode: letters, and marks of ASCII.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ʯΑ-ΡΣ-ωЀ-ҁҊ-ԧぁ-ゖァ-ヺ一-龥가-힣"
+_MARKS = r"!-/:-@\[-`{-~"
+_ASCII_MARKS = string.punctuation
+_WORD = re.compile(rf"[{_LETTERS}]+")
+_PLAIN = re.compile(rf"\n?[{_LETTERS}0-9{_MARKS}]+|\n")
+#: The tokenizer's own pattern on such words.
+_PIECE = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[0-9]+| ?[{_MARKS}]+|\n")
+
+
+class _Pieces(dict):
+    """Ids of the pieces that the tokenizer's pattern cuts a text into, each made once."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.tokens = model.tokenize
+
+    def ids(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1")
+        return array("I", [t.id for t in self.tokens(piece.translate(_BYTES))]).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.ids(piece)
+        return ids
+
+
+class _Words(dict):
+    """Ids of a word with one blank before it, or that starts with its line feed, each made once.
+
+    ``old`` is the table before: what is still asked for moves on, so words in use outlive the table's size.
+    """
+
+    def __init__(self, pieces: _Pieces | None, encode, old: dict):
+        super().__init__()
+        self.pieces, self.encode, self.old = pieces, encode, old
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self._made(word)
+        self[word] = ids
+        return ids
+
+    def _made(self, word: str) -> bytes:
+        if self.pieces is not None:
+            if word.isascii() and word.isalpha():
+                return array("I", [t.id for t in self.pieces.tokens(BLANK + word)]).tobytes()
+            head = word.rstrip(_ASCII_MARKS)
+            if _WORD.fullmatch(head):
+                if len(head) == len(word):
+                    return self.pieces.ids(" " + word)
+                return self[head] + self.pieces[word[len(head) :]]
+            if _PLAIN.fullmatch(word):
+                return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word if word[0] == "\n" else " " + word)))
+        if _INNER.search(word):
+            raise _Odd
+        return self.encode(word if word[:1] == "\n" else " " + word)
+
+
+class _Odd(Exception):
+    """A word holds white space of another kind."""
 
 
 class Encoder:
@@ -61,60 +127,46 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.opens[[i for piece, i in vocabulary.items() if piece.startswith(BLANK)]] = True
-        self.memo: dict[str, bytes] = {}  # ids of a word with one blank before it, or that starts with its line feed
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with one blank before it; no word ends in white space."""
-        lines = [words[at : at + LINE] for at in range(0, len(words), LINE)]
-        out: list[bytes] = []
-        for line, ids in zip(lines, self._encode(["".join([" " + w for w in line]) for line in lines])):
-            starts = np.flatnonzero(self.opens[np.frombuffer(ids, "<u4")])
-            if len(starts) == len(line):
-                cuts = (starts * 4).tolist() + [len(ids)]
-                out.extend([ids[a:b] for a, b in zip(cuts, cuts[1:])])
-            else:
-                out.extend(self._encode([" " + w for w in line]))
-        return out
+        cutter, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        known = isinstance(cutter, pre_tokenizers.ByteLevel) and cutter.use_regex and not cutter.add_prefix_space
+        known = known and isinstance(model, models.BPE) and self.tokenizer.normalizer is None
+        self.pieces = _Pieces(model) if known else None  # without them, words go through the tokenizer
+        self.words = _Words(self.pieces, self._whole, {})
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def _head(self, word: str) -> bytes:
+        """Ids of a word that opens a text."""
+        if self.pieces is not None and _PLAIN.fullmatch(word):
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(word)))
+        if _INNER.search(word):
+            raise _Odd
+        return self._whole(word)
+
+    def _one(self, text: str) -> bytes:
+        if "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text.endswith("\n\n") or any([s in text for s in self.special]):
+            return self._whole(text)
+        words = text.replace("\n", " \n").split(" ")
+        try:
+            return self._head(words[0]) + b"".join(map(self.words.__getitem__, words[1:]))
+        except _Odd:
+            if _ODD.search(text):
+                return self._whole(text)
+        words = [words[0], *[w if w[:1] == "\n" else " " + w for w in words[1:]]]
+        return b"".join(map(self._whole, words))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        known = memo.get
-        heads, split, ids, open_ = [], [], [], []
-        wanted: set[str] = set()
-        for i, text in enumerate(texts):
-            words = text.replace("\n", " \n").split(" ")
-            # white space next to white space shows as an empty or bare word, unless it is of another kind
-            if ("" in words or "\n" in words or _OTHER.search(text)) and _ODD.search(text) or any(s in text for s in self.special):
-                words = [text]
-            heads.append(words[0])
-            del words[0]
-            found = list(map(known, words))
-            if None in found:
-                open_.append(i)
-                wanted.update([w for w, x in zip(words, found) if x is None])
-            split.append(words)
-            ids.append(found)
-        new = list(wanted)
-        for at in range(0, len(new), 20_000):
-            part = [w for w in new[at : at + 20_000] if w and w[0] != "\n" and not w[-1].isspace()]
-            memo.update(zip(part, self._words(part)))
-        rest = [w for w in new if w not in memo]
-        memo.update(zip(rest, self._encode([w if w[:1] == "\n" else " " + w for w in rest])))
-        for i in open_:
-            ids[i] = list(map(memo.__getitem__, split[i]))
-        return [head + b"".join(found) for head, found in zip(self._encode(heads), ids)]
+        if len(self.words) + len(self.pieces or ()) > MEMO:
+            self.words.old = {}
+            self.words = _Words(self.pieces, self._whole, self.words)
+            if self.pieces:
+                self.pieces.clear()
+        return [self._one(text) for text in texts]
 
 
 def encoder(path: str) -> Encoder:
