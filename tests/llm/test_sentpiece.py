@@ -77,3 +77,28 @@ def test_lookup_reads_on_only_where_a_slot_holds_another_pair():
     for a, b, r, p in zip(left.ravel().tolist(), right.ravel().tolist(), rank.ravel().tolist(), piece.ravel().tolist()):
         assert (r, p) == (model.merge.get(a << 16 | b, (-1, -1)) if a >= 0 and b >= 0 else (-1, -1))
     assert sum(read) < 1.5 * left.size < model.probes * left.size
+
+
+def test_every_occurrence_draws_its_own_skips():
+    word = " worthless"
+    text = word[1:] + word * 599
+    raw = S.encode_texts(MODEL, [text, text, text], [1, 2, 1])
+    assert raw[0] == raw[2] != raw[1]
+    keys = S.occurrences([1], np.array([600]), S.SEED)
+    apart = [S._agenda(MODEL, word, int(k), S.RATE) for k in keys]
+    assert b"".join(apart) == raw[0]
+    assert len(set(apart)) > 4
+    merges = len(word) - len(ids(S.agenda(MODEL, word, 0, 0, 0.0)))
+    assert abs((S._gaps(keys, 0, S.RATE) >= merges).mean() - (1 - S.RATE) ** merges) < 0.08
+
+
+def test_occurrences_equal_the_agenda_whatever_is_memoised():
+    texts = [t * 7 for t in TEXTS] + ["international " * 30, "b" * 60 + " é漢" * 9]
+    for rate in (0.0, 0.1, 0.6, 1.0):
+        memo, alone = S.Memo(), [S.encode_texts(MODEL, [t], [i], rate=rate)[0] for i, t in enumerate(texts)]
+        for _ in range(2):
+            assert S.encode_texts(MODEL, texts, list(range(len(texts))), rate=rate, memo=memo) == alone
+        for i, t in enumerate(texts):
+            words = S._SPLIT.findall(" " + t) if t else []
+            drawn = S.occurrences([i], np.array([len(words)]), S.SEED)
+            assert b"".join(S._agenda(MODEL, w, int(k), rate) for w, k in zip(words, drawn)) == alone[i]
