@@ -15,12 +15,12 @@ depth t no unmet row can score above the threshold
 
 and a window is done when the threshold lies strictly below its k-th score so far or below its
 lower end (strictly: a row with an equal score may have a smaller id).  Windows that are done leave
-the walk.  Within a task the k-th scores found in one block are the start in the next; the best of
-all blocks win.  Depths double, so a walk has at most log2(block) steps.  Dense vectors make the
+the walk.  Within a tile the k-th scores found in one block are the start in the next; the best of
+all tiles win.  Depths double, so a walk has at most log2(block) steps.  Dense vectors make the
 threshold fall slowly: the walk is exact, but there it meets most rows of a block.
 
 Nothing is capped: blocks hold about ``block`` rows, groups about ``group`` anchors, and a task holds
-one block and one group at a time.
+the few blocks of a tile and one group at a time.
 
 Defined cases: rows with a NULL id or label, a NULL vector or a NULL or non-finite component, and rows
 whose vector is shorter or longer than most (ties: the shorter) take no part; a repeated id counts
@@ -46,7 +46,10 @@ SCALE = 256
 POSITIVES, NEGATIVES = 5, 3
 LOW, HIGH = 50, 95
 BLOCK, GROUP = 8192, 512
+#: A tile is up to so many blocks, and groups; blocks are put together once there are twice so many tiles.
+BAND, SHARE, TILES = 8, 64, 48
 FIRST_DEPTH = 16
+ANCHORS = ("anchor_ids", "anchor_labels", "a", "of", "tag", "low", "high")
 LEAST, MOST = -(1 << 62), 1 << 62
 
 
@@ -166,31 +169,40 @@ def walk(
     return scored
 
 
-def _searched(blocks: DataFrame, count: int, groups: DataFrame, size: int, k: int, same: bool) -> DataFrame:
-    """anchor_id, window, vec_id, score: the best k of each window (``groups`` has one row per group of anchors)."""
+def _searched(blocks: DataFrame, count: int, groups: DataFrame, parts: int, size: int, k: int, same: bool, tiles: int = TILES) -> DataFrame:
+    """anchor_id, window, vec_id, score: the best k of each window (``groups`` has one row per group of anchors).
+
+    Every group meets every block in a tile of some blocks and some groups, which one task holds.  Rows of both kinds are
+    dealt to the tiles; they are not joined, so no side is ever gathered on the driver and no row holds a block and a group.
+    """
+    band = max(1, min(BAND, count // tiles))
+    bands, shares = -(-count // band), -(-parts // SHARE)
 
     def run(batches):
-        held, block = None, None
-        found: dict[int, tuple[np.ndarray, np.ndarray, Best]] = {}
+        held, tile = [], None
         for batch in batches:
             column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             for i in range(batch.num_rows):
-                if column["block"][i].as_py() != held:
-                    held = column["block"][i].as_py()
+                if column["tile"][i].as_py() != tile:
+                    held, tile = [], column["tile"][i].as_py()
+                if column["part"][i].as_py() is None:
                     ids, labels = (np.frombuffer(column[c][i].as_py(), "<i8") for c in ("ids", "labels"))
                     x = np.frombuffer(column["x"][i].as_py(), "<i4").reshape(-1, size)
-                    block = ids, labels, x, np.frombuffer(column["orders"][i].as_py(), "<i4").reshape(size, -1)
-                anchor_ids, anchor_labels, a, of, tag, low, high = (column[c][i].values.to_numpy(zero_copy_only=False) for c in ("anchor_ids", "anchor_labels", "a", "of", "tag", "low", "high"))
-                part = column["part"][i].as_py()
-                if part not in found:
-                    found[part] = anchor_ids[of], tag, Best(len(of), k)
-                walk(*block, (anchor_ids, anchor_labels, a.reshape(-1, size)), (of, low, high), found[part][2], same)
-        for anchor_of, tag, best in found.values():
-            columns = anchor_of[best.window], tag[best.window], best.id, best.score
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor_id", "window", "vec_id", "score"])
-
-    every = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))  # every group meets every block
-    return blocks.join(every, "block").sortWithinPartitions("block").mapInArrow(run, "anchor_id long, window long, vec_id long, score long")
+                    held.append((ids, labels, x, np.frombuffer(column["orders"][i].as_py(), "<i4").reshape(size, -1)))
+                    continue
+                anchor_ids, anchor_labels, a, of, tag, low, high = (column[c][i].values.to_numpy(zero_copy_only=False) for c in ANCHORS)
+                best = Best(len(of), k)
+                for block in held:
+                    walk(*block, (anchor_ids, anchor_labels, a.reshape(-1, size)), (of, low, high), best, same)
+                columns = anchor_ids[of][best.window], tag[best.window], best.id, best.score
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor_id", "window", "vec_id", "score"])
+
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = blocks.withColumn("share", each(shares)).withColumn("tile", F.floor(F.col("block") / band).cast("int") * shares + F.col("share"))
+    dealt = groups.withColumn("band", each(bands)).withColumn("tile", F.col("band") * shares + F.col("part") % shares)
+    rows = rows.select("tile", "ids", "labels", "x", "orders").unionByName(dealt.select("tile", "part", *ANCHORS), allowMissingColumns=True)
+    rows = rows.repartition(bands * shares, "tile").sortWithinPartitions("tile", F.col("part").asc_nulls_first())  # blocks first
+    return rows.mapInArrow(run, "anchor_id long, window long, vec_id long, score long")
 
 
 def _groups(anchors: DataFrame, windows: DataFrame, parts: int) -> DataFrame:
@@ -201,7 +213,7 @@ def _groups(anchors: DataFrame, windows: DataFrame, parts: int) -> DataFrame:
     flat = F.flatten(F.transform("g", lambda r, i: F.transform(r["w"], lambda w: F.struct(i.cast("long").alias("of"), w["tag"].alias("tag"), w["low"].alias("low"), w["high"].alias("high")))))
     rows = rows.withColumn("w", flat)
     return rows.select(
-        "part", F.col("g.anchor_id").alias("anchor_ids"), F.col("g.label").alias("anchor_labels"), F.flatten("g.x").alias("a"), *[F.col(f"w.{c}").alias(c) for c in ("of", "tag", "low", "high")],
+        "part", F.col("g.anchor_id").alias("anchor_ids"), F.col("g.label").alias("anchor_labels"), F.flatten("g.x").cast("array<int>").alias("a"), *[F.col(f"w.{c}").alias(c) for c in ("of", "tag", "low", "high")],
     )
 
 
@@ -227,14 +239,14 @@ def mine(
     parts = max(1, -(-anchors.count() // group))
     # positives: one window without bounds for each anchor
     whole = anchors.select("anchor_id", F.lit(0).cast("long").alias("tag"), F.lit(LEAST).alias("low"), F.lit(MOST).alias("high"))
-    near = _first(_searched(lists, blocks, _groups(anchors, whole, parts), size, positives, True), positives, "anchor_id")
+    near = _first(_searched(lists, blocks, _groups(anchors, whole, parts), parts, size, positives, True), positives, "anchor_id")
     near = stage(near.select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")))
     # low * p <= 100 * s <= high * p, as whole numbers; s = ceil(low * p / 100) ... floor(high * p / 100)
     bounds = [F.expr(e) for e in (
         f"-((-positive_score * {low} - pmod(-positive_score * {low}, 100)) div 100)", f"(positive_score * {high} - pmod(positive_score * {high}, 100)) div 100",
     )]
     windows = near.select("anchor_id", F.col("positive_id").alias("tag"), bounds[0].alias("low"), bounds[1].alias("high")).filter("low <= high")
-    hard = _first(_searched(lists, blocks, _groups(anchors, windows, parts), size, negatives, False), negatives, "anchor_id", "window")
+    hard = _first(_searched(lists, blocks, _groups(anchors, windows, parts), parts, size, negatives, False), negatives, "anchor_id", "window")
     hard = hard.select("anchor_id", F.col("window").alias("positive_id"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     return hard.join(near, ["anchor_id", "positive_id"]).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 

@@ -88,3 +88,19 @@ def test_label_and_anchor_are_free(table):
     rows = [(i, [0.1 * (i % 7), 0.2, -0.1 * (i % 3)], i % 3, "", "") for i in range(40)]
     got = found(hardneg.mine(table(rows, SCHEMA), anchor=F.col("vec_id") % 8 == 0, label=F.col("label") + 1, positives=2, negatives=4))
     assert got == brute(rows, positives=2, negatives=4, step=8)
+
+
+def test_groups_and_blocks_meet_without_a_join(table, monkeypatch):
+    draw = np.random.default_rng(5)
+    rows = [(int(i * 5), v.tolist(), int(draw.integers(0, 3)), "s", "b") for i, v in enumerate(draw.standard_normal((600, 6)))]
+    plans, first = [], hardneg._first
+    monkeypatch.setattr(hardneg, "_first", lambda frame, *rest: plans.append(frame) or first(frame, *rest))
+    monkeypatch.setattr(hardneg, "SHARE", 2)
+    for band in (1, 3):
+        monkeypatch.setattr(hardneg, "TILES", 20 // band)
+        monkeypatch.setattr(hardneg, "BAND", band)
+        got = found(hardneg.mine(table(rows, SCHEMA), block=30, group=7))
+        assert got == brute(rows) and len(got) > 20
+    for plan in plans:
+        above = plan._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0]  # the groups themselves are put together below
+        assert "Join" not in above and "MapInArrow" in above
