@@ -90,7 +90,7 @@ def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.mapInArrow(run, f"doc_ids array<{kind}>, sizes array<int>, terms array<binary>, ends array<int>, places binary")
-    return stage(rows.withColumn("shard", F.monotonically_increasing_id()))
+    return stage(rows.withColumn("shard", F.monotonically_increasing_id()), group_rows=1)  # a shard is megabytes
 
 
 def windows_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:

@@ -95,3 +95,13 @@ def test_index_holds_every_token(table):
         for doc_id, size in zip(s.doc_ids, s.sizes):
             assert " ".join(at[first + k] for k in range(size)) == docs[doc_id][1]
             first += size + 1
+
+
+def test_shards_are_written_and_read_one_at_a_time(spark):
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"word{i} and word{i % 7}") for i in range(60)], "doc_id long, text string").coalesce(1)
+    shards = phrases.index(docs, shard_words=12)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in shards.inputFiles()]
+    rows = [m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)]
+    assert len(rows) == shards.count() == 15 and set(rows) == {1}
